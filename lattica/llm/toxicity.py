@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-Each word enters as the embedding of the word beside the mean embedding of its character trigrams. Windows of WINDOW words,
+Each word enters as the embedding of the word beside the mean embedding of its character 3- to 5-grams. Windows of WINDOW words,
 one every STRIDE, go through a forward and a backward gated recurrent layer; attention pools the states into one logit.
 A text's score is that of its highest window, all windows of the whole text being scored.
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod
 
 WINDOW, STRIDE = 48, 32
-#: Texts per class that the network is fitted on, at most; words with an embedding of their own; buckets of trigrams.
-SAMPLE, VOCABULARY, TRIGRAMS = 1000, 20_000, 4096
+#: Texts per class that the network is fitted on, at most; words with an embedding of their own; cells of character grams.
+SAMPLE, VOCABULARY, GRAMS = 1000, 20_000, 1 << 16
 DIM, HIDDEN = 8, 8
 _WORD = re.compile(r"\w+")
 _CACHE = 150_000
@@ -37,9 +37,9 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def trigram_cells(word: str) -> list[int]:
+def gram_cells(word: str) -> list[int]:
     w = f"^{word}$"
-    return [zlib.crc32(w[i : i + 3].encode("utf-8", "surrogatepass")) % TRIGRAMS for i in range(max(1, len(w) - 2))]
+    return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % GRAMS for n in (3, 4, 5) for i in range(max(1, len(w) - n + 1))]
 
 
 def window_starts(n: int) -> range:
@@ -54,20 +54,21 @@ def _sigmoid(x):
 class Network:
     """Parameters, the pass forward, and its gradient."""
 
-    def __init__(self, vocabulary: dict[str, int], odds: np.ndarray, seed: int = 7):
+    def __init__(self, vocabulary: dict[str, int], odds: np.ndarray, gram_odds: np.ndarray | float = 0.0, seed: int = 7):
         r = np.random.default_rng(seed)
         small = lambda *s: (r.standard_normal(s) * 0.3).astype(np.float32)
         self.vocabulary = vocabulary
-        self.p = {"word": small(len(vocabulary) + 1, DIM) * 0.2, "char": small(TRIGRAMS, DIM) * 0.2, "wa": small(2 * HIDDEN, HIDDEN), "va": small(HIDDEN), "out": small(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
+        self.p = {"word": small(len(vocabulary) + 1, DIM) * 0.2, "char": small(GRAMS, DIM) * 0.2, "wa": small(2 * HIDDEN, HIDDEN), "va": small(HIDDEN), "out": small(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
         self.p["word"][1:, 0] = odds
+        self.p["char"][:, 0] = 3 * gram_odds
         for d in "fb":
             self.p |= {f"w{d}": small(2 * DIM, 3 * HIDDEN), f"u{d}": small(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.scale, self.shift, self.prior = 1.0, 0.0, 0.1
 
     def inputs(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Word ids, trigram cells of all words end to end, and where each word's begin."""
+        """Word ids, gram cells of all words end to end, and where each word's begin."""
         ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        cells = [trigram_cells(w) for w in words]
+        cells = [gram_cells(w) for w in words]
         return ids, np.array([c for x in cells for c in x], dtype=np.int64), np.cumsum([0, *map(len, cells)])
 
     def embedded(self, ids, cells, at) -> np.ndarray:
@@ -158,7 +159,7 @@ class Network:
         spread = np.repeat(dx[:, DIM:] / per[:, None], per, axis=0)
         for j in range(DIM):
             g["word"][:, j] = np.bincount(word_ids, dx[:, j], len(p["word"]))
-            g["char"][:, j] = np.bincount(cells, spread[:, j], TRIGRAMS)
+            g["char"][:, j] = np.bincount(cells, spread[:, j], GRAMS)
         return g
 
 
@@ -246,10 +247,17 @@ def fit(texts: list[str], labels: list[int], rounds: int = 7, prior: float = 0.1
             counts.setdefault(w, [0, 0])[int(one)] += 1
     vocabulary = {w: i + 1 for i, w in enumerate(sorted((w for w, c in counts.items() if sum(c) > 1), key=lambda w: (-sum(counts[w]), w))[:VOCABULARY])}
     clean, toxic = (y == 0).sum(), (y == 1).sum()
-    seen = np.array([counts[w] for w in vocabulary], dtype=np.float64).reshape(-1, 2)
-    ratio = np.log((seen[:, 1] + 0.5) / (toxic + 1)) - np.log((seen[:, 0] + 0.5) / (clean + 1))
-    deviation = np.sqrt(1 / (seen[:, 1] + 0.5) + 1 / (seen[:, 0] + 0.5))
-    net = Network(vocabulary, np.clip(np.sign(ratio) * np.maximum(0, np.abs(ratio) - 1.5 * deviation), -3, 3).astype(np.float32), seed)
+    grams = np.zeros((GRAMS, 2))
+    for d, one in zip(docs, y):
+        grams[np.unique([c for w in set(d) for c in gram_cells(w)]), int(one)] += 1
+
+    def odds(seen: np.ndarray) -> np.ndarray:
+        """Log odds of toxic texts among those that have something, drawn to 0 by their deviation."""
+        ratio = np.log((seen[:, 1] + 0.5) / (toxic + 1)) - np.log((seen[:, 0] + 0.5) / (clean + 1))
+        deviation = np.sqrt(1 / (seen[:, 1] + 0.5) + 1 / (seen[:, 0] + 0.5))
+        return np.clip(np.sign(ratio) * np.maximum(0, np.abs(ratio) - 1.5 * deviation), -3, 3).astype(np.float32)
+
+    net = Network(vocabulary, odds(np.array([counts[w] for w in vocabulary], dtype=np.float64).reshape(-1, 2)), odds(grams), seed)
     rng = np.random.default_rng(seed)
     first, second, step = {}, {}, 0
     for turn in range(rounds):
