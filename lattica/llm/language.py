@@ -143,7 +143,7 @@ class Labeller:
         new = list({w for ws in docs for w in ws if w not in self.seen})
         if new:
             self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new))))
-            self.table = np.concatenate([self.table, self.model.scores(new)])
+            self.table = np.concatenate([self.table, *(self.model.scores(new[k : k + 4096]) for k in range(0, len(new), 4096))])
         seen, langs = self.seen, self.model.langs
         ids = [np.fromiter((seen[w] for w in ws), dtype=np.int64, count=len(ws)) for ws in docs]
         out = []

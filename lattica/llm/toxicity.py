@@ -184,7 +184,7 @@ class Scorer:
         new = list({w for ws in docs for w in ws if w not in self.seen})
         if new:
             self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new))))
-            self.gates = np.concatenate([self.gates, self.net.projected(new)])
+            self.gates = np.concatenate([self.gates, *(self.net.projected(new[k : k + 4096]) for k in range(0, len(new), 4096))])
         seen = self.seen
         return [np.fromiter((seen[w] for w in ws), dtype=np.int32, count=len(ws)) for ws in docs]
 
@@ -224,7 +224,7 @@ class Scorer:
         out = np.empty(len(texts))
         part, size, begin = [], 0, 0
         for k, t in enumerate([*texts, None]):
-            if k == len(texts) or (part and size > 4_000_000):
+            if k == len(texts) or (part and size > 1_000_000):
                 best = self.highest(part)[0] if part else np.empty(0)
                 out[begin:k] = np.where(np.isfinite(best), _sigmoid(self.net.scale * (best - self.net.shift)), self.net.prior)
                 part, size, begin = [], 0, k
@@ -312,9 +312,10 @@ def scored(docs: DataFrame, net: Network | None, prior: float, id_column: str =
     def score(batches):
         scorer = Scorer(net) if net else None
         for b in batches:
-            texts = b.column(1).to_pylist()
-            s = scorer.scores(texts) if scorer else np.full(len(texts), min(prior, 0.49))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["doc_id", "score"])
+            for k in range(0, len(b), 1000):
+                c = b.slice(k, 1000)
+                s = scorer.scores(c.column(1).to_pylist()) if scorer else np.full(len(c), min(prior, 0.49))
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s)], ["doc_id", "score"])
 
     return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
 
@@ -327,8 +328,9 @@ def keep_clean(docs: DataFrame, net: Network | None, prior: float) -> DataFrame:
     def clean(batches):
         scorer = Scorer(net) if net else None
         for b in batches:
-            texts = b.column(place).to_pylist()
-            yield b.filter(pa.array(scorer.scores(texts) < 0.5)) if scorer else b
+            for k in range(0, len(b), 1000):
+                c = b.slice(k, 1000)
+                yield c.filter(pa.array(scorer.scores(c.column(place).to_pylist()) < 0.5)) if scorer else c
 
     return docs.mapInArrow(clean, schema)
 
