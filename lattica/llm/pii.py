@@ -19,12 +19,11 @@ get equal results; an empty corpus discloses nothing; extra columns pass through
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty
+from .common import Scratch, let, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -127,19 +126,22 @@ def disclosing_terms(based: DataFrame, at: Thresholds) -> DataFrame:
     mark = F.lit("\u0000")
     # a word character of its own kind stands for each entity, so that words and entities keep their order
     flat = lambda t, b: let(_covered(b), lambda s: _replaced(t, s, lambda k: F.concat(mark, F.array_position(F.array(*map(F.lit, KINDS)), k).cast("string"), mark)))
-    plain = based.where(F.size("__base") == 0).select(F.explode(F.regexp_extract_all(F.lower("__text"), F.lit(f"({TERM})"))).alias("term"))
-    counts = plain.groupBy("term").agg(F.count("*").alias("n"))
-    tokens = F.regexp_extract_all(flat(F.lower("__text"), F.col("__base")), F.lit(rf"(\x00[1-4]\x00|{TERM})"))
-    entity = lambda i: F.xxhash64(F.substring("__text", F.get("__base", i)["start"] + 1, F.get("__base", i)["end"] - F.get("__base", i)["start"]))
-    near = based.where(F.size("__base") > 0).select(tokens.alias("tokens"), F.transform(F.sequence(F.lit(0), F.size("__base") - 1), entity).alias("values"))
-    placed = near.select("tokens", "values", F.posexplode("tokens").alias("i", "term"))
-    around = F.slice(F.col("tokens"), F.greatest(F.col("i") + 1 - at.reach, F.lit(1)), F.lit(2 * at.reach + 1) - F.greatest(at.reach - F.col("i"), F.lit(0)))
-    kinds = let(F.filter(around, lambda x: F.contains(x, mark)), lambda a: F.when(F.size(a) > 0, F.transform(F.array_distinct(a), lambda x: F.substring(x, 2, 1).cast("int"))))
-    words = placed.where(~F.contains("term", mark)).select("term", kinds.alias("kinds"), F.when(kinds.isNotNull(), F.xxhash64("values")).alias("entity"))
+    entity = lambda b: F.xxhash64(F.substring("__text", b["start"] + 1, b["end"] - b["start"]))
+    word = lambda x, kinds: F.struct(x.alias("term"), kinds.alias("kinds"))
+    no_kinds = F.lit(None).cast("array<int>")
+
+    def beside(tokens: Column) -> Column:
+        """Each word with the kinds of the entities within reach."""
+        around = lambda i: F.slice(tokens, F.greatest(i + 1 - at.reach, F.lit(1)), F.lit(2 * at.reach + 1) - F.greatest(at.reach - i, F.lit(0)))
+        kinds = lambda i: let(F.filter(around(i), lambda x: F.contains(x, mark)), lambda a: F.when(F.size(a) > 0, F.transform(F.array_distinct(a), lambda x: F.substring(x, 2, 1).cast("int"))))
+        return F.filter(F.transform(tokens, lambda x, i: word(x, kinds(i))), lambda w: ~F.contains(w["term"], mark))
+
+    low, has = F.lower("__text"), F.size("__base") > 0
+    near = let(F.regexp_extract_all(flat(low, F.col("__base")), F.lit(rf"(\x00[1-4]\x00|{TERM})")), beside)
+    plain = F.transform(F.regexp_extract_all(low, F.lit(f"({TERM})")), lambda x: word(x, no_kinds))
+    words = based.select(F.when(has, F.xxhash64(F.transform("__base", entity))).alias("entity"), F.explode(F.when(has, near).otherwise(plain)).alias("w")).select("w.term", "w.kinds", F.when(F.col("w.kinds").isNotNull(), F.col("entity")).alias("entity"))
     flags = [F.sum(F.when(F.array_contains("kinds", i + 1), 1).otherwise(0)).alias(f"n{i}") for i in range(len(KINDS))]
-    in_near = words.groupBy("term").agg(F.count("*").alias("n"), *flags, F.count_distinct("entity").alias("support"))
-    zero = [F.lit(0).cast("long").alias(f"n{i}") for i in range(len(KINDS))]
-    total = counts.select("term", "n", *zero, F.lit(0).cast("long").alias("support")).unionByName(in_near).groupBy("term").agg(F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(KINDS))], F.sum("support").alias("support"))
+    total = words.groupBy("term").agg(F.count("*").alias("n"), *flags, F.count_distinct("entity").alias("support"))
     all_words = total.agg(F.sum("n").alias("all"), *[F.sum(f"n{i}").alias(f"all{i}") for i in range(len(KINDS))])
     held = total.where(F.col("support") >= at.support).crossJoin(F.broadcast(all_words))  # one row
     share = [F.struct(F.lit(k).alias("kind"), F.when((F.col(f"n{i}") > 0) & (F.col(f"all{i}") < F.col("all")), 1 - F.log2(F.col(f"n{i}") / F.col("n")) / F.log2(F.col(f"all{i}") / F.col("all"))).alias("disclosure")) for i, k in enumerate(KINDS)]
@@ -150,7 +152,8 @@ def disclosing_terms(based: DataFrame, at: Thresholds) -> DataFrame:
 def sanitise(docs: DataFrame, text: str = "text", into: str = "pii", at: Thresholds = Thresholds()) -> DataFrame:
     """docs with a struct column `into`: base and terms (spans: start, end, kind), and the sanitised text."""
     based = with_base(docs, text)
-    terms = disclosing_terms(based, at)
+    # a table of its own, so that the corpus is counted once
+    terms = Scratch(docs.sparkSession, "pii").keep(disclosing_terms(based, at), "terms")
     n = terms.limit(at.broadcast_rows + 1).count()
     key = [F.xxhash64("__text").alias("k1"), F.length("__text").alias("k2")]
     if n:
