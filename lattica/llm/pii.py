@@ -18,6 +18,7 @@ get equal results; an empty corpus discloses nothing; extra columns pass through
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,12 +45,14 @@ TERM = r"[\p{L}\p{N}]+"
 
 @dataclass(frozen=True)
 class Thresholds:
-    """reach: words on either side of an entity that count as beside it; support: distinct entities a term must stand beside."""
+    """reach: words on either side of an entity that count as beside it; support: distinct entities a term must stand beside;
+    inline_terms: terms that may stand in the plan; broadcast_rows: rows that may be broadcast. More go through joins."""
 
     reach: int = 3
     support: int = 8
     generalise_at: float = 0.75
     remove_at: float = 0.9
+    inline_terms: int = 1000
     broadcast_rows: int = 50_000
 
 
@@ -121,7 +124,7 @@ def with_base(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__text", t).withColumn("__base", F.flatten(F.array(*[base_spans(t, k) for k in KINDS])))
 
 
-def disclosing_terms(based: DataFrame, at: Thresholds) -> DataFrame:
+def disclosing_terms(based: DataFrame, at: Thresholds, scratch: Scratch) -> DataFrame:
     """(term, kind, disclosure) of terms at or above `generalise_at`, from all texts of with_base()."""
     mark = F.lit("\u0000")
     # a word character of its own kind stands for each entity, so that words and entities keep their order
@@ -142,8 +145,11 @@ def disclosing_terms(based: DataFrame, at: Thresholds) -> DataFrame:
     words = based.select(F.when(has, F.xxhash64(F.transform("__base", entity))).alias("entity"), F.explode(F.when(has, near).otherwise(plain)).alias("w")).select("w.term", "w.kinds", F.when(F.col("w.kinds").isNotNull(), F.col("entity")).alias("entity"))
     flags = [F.sum(F.when(F.array_contains("kinds", i + 1), 1).otherwise(0)).alias(f"n{i}") for i in range(len(KINDS))]
     total = words.groupBy("term").agg(F.count("*").alias("n"), *flags, F.count_distinct("entity").alias("support"))
-    all_words = total.agg(F.sum("n").alias("all"), *[F.sum(f"n{i}").alias(f"all{i}") for i in range(len(KINDS))])
-    held = total.where(F.col("support") >= at.support).crossJoin(F.broadcast(all_words))  # one row
+    # terms of too little support become one row, so that one small table holds the terms in question and the sums of all
+    sums = [F.sum(c).alias(c) for c in ("n", *(f"n{i}" for i in range(len(KINDS))))]
+    few = scratch.keep(total.groupBy(F.when(F.col("support") >= at.support, F.col("term")).alias("term")).agg(*sums), "counts")
+    all_words = few.agg(F.sum("n").alias("all"), *[F.sum(f"n{i}").alias(f"all{i}") for i in range(len(KINDS))])
+    held = few.where("term is not null").crossJoin(F.broadcast(all_words))  # one row
     share = [F.struct(F.lit(k).alias("kind"), F.when((F.col(f"n{i}") > 0) & (F.col(f"all{i}") < F.col("all")), 1 - F.log2(F.col(f"n{i}") / F.col("n")) / F.log2(F.col(f"all{i}") / F.col("all"))).alias("disclosure")) for i, k in enumerate(KINDS)]
     best = held.select("term", F.explode(F.array(*share)).alias("s")).select("term", "s.kind", "s.disclosure").where(F.col("disclosure") >= at.generalise_at)
     return best.groupBy("term").agg(F.max_by("kind", "disclosure").alias("kind"), F.max("disclosure").alias("disclosure"))
@@ -152,16 +158,22 @@ def disclosing_terms(based: DataFrame, at: Thresholds) -> DataFrame:
 def sanitise(docs: DataFrame, text: str = "text", into: str = "pii", at: Thresholds = Thresholds()) -> DataFrame:
     """docs with a struct column `into`: base and terms (spans: start, end, kind), and the sanitised text."""
     based = with_base(docs, text)
-    # a table of its own, so that the corpus is counted once
-    terms = Scratch(docs.sparkSession, "pii").keep(disclosing_terms(based, at), "terms")
-    n = terms.limit(at.broadcast_rows + 1).count()
-    key = [F.xxhash64("__text").alias("k1"), F.length("__text").alias("k2")]
-    if n:
-        words = based.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(f"({TERM})")))).alias("term"))
-        hits = words.join(F.broadcast(terms) if n <= at.broadcast_rows else terms, "term").groupBy("k1", "k2").agg(F.collect_set(F.struct("term", "kind", "disclosure")).alias("__hits"))
-        based = based.withColumns({"k1": key[0], "k2": key[1]}).join(hits, ["k1", "k2"], "left").drop("k1", "k2")
+    scratch = Scratch(docs.sparkSession, "pii")
+    terms = scratch.keep(disclosing_terms(based, at, scratch), "terms")
+    kind = "array<struct<term:string,kind:string,disclosure:double>>"
+    some = terms.orderBy("term").limit(at.inline_terms + 1).collect()
+    lower_words = F.regexp_extract_all(F.lower("__text"), F.lit(f"({TERM})"))
+    if len(some) <= at.inline_terms:
+        # few terms are part of the plan, and no text is moved
+        every = F.from_json(F.lit(json.dumps([r.asDict() for r in some])), kind)
+        held = let(F.array_intersect(lower_words, F.transform(every, lambda t: t["term"])), lambda own: F.when(F.size(own) > 0, F.filter(every, lambda t: F.array_contains(own, t["term"]))))
+        based = based.withColumn("__hits", held if some else F.lit(None).cast(kind))
     else:
-        based = based.withColumn("__hits", F.lit(None).cast("array<struct<term:string,kind:string,disclosure:double>>"))
+        key = {"k1": F.xxhash64("__text"), "k2": F.length("__text")}
+        words = based.select(*[c.alias(n) for n, c in key.items()], F.explode(F.array_distinct(lower_words)).alias("term"))
+        small = lambda df: F.broadcast(df) if df.limit(at.broadcast_rows + 1).count() <= at.broadcast_rows else df
+        hits = scratch.keep(words.join(small(terms), "term").groupBy("k1", "k2").agg(F.collect_set(F.struct("term", "kind", "disclosure")).alias("__hits")), "hits")
+        based = based.withColumns(key).join(small(hits), ["k1", "k2"], "left").drop("k1", "k2")
 
     def own(hits: Column) -> Column:
         by = F.map_from_entries(F.transform(hits, lambda h: F.struct(h["term"], F.struct(h["kind"], h["disclosure"]))))
