@@ -46,6 +46,13 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches cut into slices of few rows, which bounds what a worker holds as Python objects."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of a column's text form, modulo; null where the column is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom, components, in_bloom, mix64
+from .common import Scratch, bloom, components, in_bloom, mix64, slices
 
 #: Bytes of text that are hashed at once, documents counted together for heavy shingles, rows of the heavy list (1 MB).
-CHUNK, COUNTED_TOKENS, HEAVY_ROWS = 1 << 21, 4_000_000, 1 << 16
+CHUNK, COUNTED_TOKENS, HEAVY_ROWS = 1 << 19, 2_000_000, 1 << 16
 #: A shingle counts as heavy from so many documents on (a matter of speed only).
 HEAVY_FROM = 32
 #: The longest list that gives all its pairs, the hubs of the first round, the largest size that may be light.
@@ -128,9 +128,10 @@ def _counted(docs: DataFrame, width: int) -> DataFrame:
     def count(batches):
         shingler = Shingler(width)
         kept: list[np.ndarray] = []
-        held = 0
+        held, seen = 0, set()
 
         def emit():
+            """Counts of the sets held, copies left out."""
             every = np.concatenate(kept)
             found, back, times = np.unique(every, return_inverse=True, return_counts=True)
             sizes = np.array([len(s) for s in kept])
@@ -145,14 +146,16 @@ def _counted(docs: DataFrame, width: int) -> DataFrame:
             n = np.concatenate([times[some], docs_at.astype(np.int64), pairs_at.astype(np.int64)])
             return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for s in shingler(batch.column(0).to_pylist()):
-                if len(s):
+                if len(s) and (f := fingerprint(s)) not in seen:
+                    seen.add(f)
                     kept.append(s)
                     held += len(s)
                     if held >= COUNTED_TOKENS:
                         yield emit()
                         kept, held = [], 0
+                        seen.clear()
         if kept:
             yield emit()
 
@@ -199,15 +202,17 @@ class Order:
 
 
 def _postings(docs: DataFrame, width: int, heavy: np.ndarray, x: int) -> DataFrame:
-    """Rows (key, light, fp, n, hot): subsets of light sets, and the inverted lists' entries. Copies within a batch go once.
+    """Rows (key, light, fp, n, hot): subsets of light sets, and the inverted lists' entries. Copies go once, as far as a task remembers.
 
     hot: the key is made of heavy shingles only, so its list may be of any length and is dealt out by key and set.
     """
 
     def post(batches):
         shingler, order = Shingler(width), Order(heavy)
-        for batch in batches:
-            seen: set[int] = set()
+        seen: set[int] = set()
+        for batch in slices(batches):
+            if len(seen) > 200_000:
+                seen.clear()
             keys, light, fps, sizes, hot = [], [], [], [], []
             for s in shingler(batch.column(0).to_pylist()):
                 n = len(s)
@@ -241,7 +246,7 @@ def _sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
 
     def some(batches):
         shingler = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches):
             found = {}
             for s in shingler(batch.column(0).to_pylist()):
                 if len(s):
@@ -260,7 +265,7 @@ def signatures(docs: DataFrame, width: int = 5, id_column: str = "doc_id") -> Da
 
     def sign(batches):
         shingler = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingler(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], type=pa.int64())], ["doc_id", "n_shingles", "fp"])
 

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, slices
 
 SAMPLE, CELLS, PENALTY = 600, 1 << 16, 8.0
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000
+_CACHE = 100_000
 
 # First code points of script ranges; what stands between two of them belongs to the former.
 SCRIPTS = (
@@ -178,12 +178,10 @@ def labelled(docs: DataFrame, model: Model | None, id_column: str = "doc_id") ->
 
     def label(batches):
         labeller = Labeller(model) if model else None
-        for batch in batches:
-            for k in range(0, len(batch), 2000):
-                b = batch.slice(k, 2000)
-                got = labeller(b.column(1).to_pylist()) if labeller else [("und", 0.0, [])] * len(b)
-                spans = pa.array([[{"first": f, "end": e, "lang": x} for f, e, x in g[2]] for g in got], type=span)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), spans], ["doc_id", "lang_pred", "score", "spans"])
+        for b in slices(batches, 2000):
+            got = labeller(b.column(1).to_pylist()) if labeller else [("und", 0.0, [])] * len(b)
+            spans = pa.array([[{"first": f, "end": e, "lang": x} for f, e, x in g[2]] for g in got], type=span)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), spans], ["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(label, "doc_id long, lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>")
 

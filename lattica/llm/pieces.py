@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE, UNKNOWN = "▁", 10.0
-_CACHE = 300_000
+_CACHE = 120_000
 _CUT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 class Encoder:

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, slices
 
 WINDOW, STRIDE = 48, 32
 #: Texts per class that the network is fitted on, at most; words with an embedding of their own; cells of character grams.
 SAMPLE, VOCABULARY, GRAMS = 1000, 20_000, 1 << 16
 DIM, HIDDEN = 8, 8
 _WORD = re.compile(r"\w+")
-_CACHE = 150_000
+_CACHE = 60_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -213,7 +213,7 @@ class Scorer:
             for a, x in ((ids, i), (masks, m), (own, np.full(len(i), d)), (number, np.arange(len(i)))):
                 a.append(x)
             held += len(i)
-            if held >= 8192:
+            if held >= 4096:
                 flush()
                 held = 0
         if own:
@@ -224,7 +224,7 @@ class Scorer:
         out = np.empty(len(texts))
         part, size, begin = [], 0, 0
         for k, t in enumerate([*texts, None]):
-            if k == len(texts) or (part and size > 1_000_000):
+            if k == len(texts) or (part and size > 500_000):
                 best = self.highest(part)[0] if part else np.empty(0)
                 out[begin:k] = np.where(np.isfinite(best), _sigmoid(self.net.scale * (best - self.net.shift)), self.net.prior)
                 part, size, begin = [], 0, k
@@ -311,11 +311,9 @@ def scored(docs: DataFrame, net: Network | None, prior: float, id_column: str =
 
     def score(batches):
         scorer = Scorer(net) if net else None
-        for b in batches:
-            for k in range(0, len(b), 1000):
-                c = b.slice(k, 1000)
-                s = scorer.scores(c.column(1).to_pylist()) if scorer else np.full(len(c), min(prior, 0.49))
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s)], ["doc_id", "score"])
+        for c in slices(batches):
+            s = scorer.scores(c.column(1).to_pylist()) if scorer else np.full(len(c), min(prior, 0.49))
+            yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s)], ["doc_id", "score"])
 
     return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
 
@@ -327,10 +325,8 @@ def keep_clean(docs: DataFrame, net: Network | None, prior: float) -> DataFrame:
 
     def clean(batches):
         scorer = Scorer(net) if net else None
-        for b in batches:
-            for k in range(0, len(b), 1000):
-                c = b.slice(k, 1000)
-                yield c.filter(pa.array(scorer.scores(c.column(place).to_pylist()) < 0.5)) if scorer else c
+        for c in slices(batches):
+            yield c.filter(pa.array(scorer.scores(c.column(place).to_pylist()) < 0.5)) if scorer else c
 
     return docs.mapInArrow(clean, schema)
 
