@@ -9,6 +9,7 @@ A document's set holds the hashes (64 bits) of its 5-word shingles; two document
    k - 1 more. Light sets (size <= x) enumerate the 2-subsets of the latter prefix and meet on equal subsets. Sets above x,
    and light ones that could link to them, enter inverted lists of the former prefix, which are scanned. The boundary x
    minimises the estimated cost: subsets written, against postings written and pairs met in the lists.
+   At the first shingle that two sets share, what stands before it is unshared: the places bound the overlap.
 3. Lists of up to SHORT sets give all their pairs. A pair then needs as many shared prefix shingles as its sizes imply
    (the bound is exact, for such lists count all that a pair shares unless it also shares a long one).
 4. Long lists are not expanded: blocks of members (hubs) are matched against the whole list, linked members
@@ -41,6 +42,8 @@ HEAVY_FROM = 32
 SHORT, HUBS, LIGHT_MOST = 48, 8, 64
 #: Shares into which the lists of heavy shingles are dealt.
 SALTS = 256
+#: Members outside a list's largest component that meet the whole list at once.
+FEW = 1024
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = 0x9E3779B97F4A7C15
@@ -202,8 +205,9 @@ class Order:
 
 
 def _postings(docs: DataFrame, width: int, heavy: np.ndarray, x: int) -> DataFrame:
-    """Rows (key, light, fp, n, hot): subsets of light sets, and the inverted lists' entries. Copies go once, as far as a task remembers.
+    """Rows (key, light, fp, n, room, hot): subsets of light sets, and the inverted lists' entries. Copies go once, as far as a task remembers.
 
+    room: the most that the set can share with one it meets here first, for what stands before in the order is then unshared.
     hot: the key is made of heavy shingles only, so its list may be of any length and is dealt out by key and set.
     """
 
@@ -213,32 +217,34 @@ def _postings(docs: DataFrame, width: int, heavy: np.ndarray, x: int) -> DataFra
         for batch in slices(batches):
             if len(seen) > 200_000:
                 seen.clear()
-            keys, light, fps, sizes, hot = [], [], [], [], []
+            keys, light, fps, sizes, rooms, hot = [], [], [], [], [], []
             for s in shingler(batch.column(0).to_pylist()):
                 n = len(s)
                 if not n or (f := fingerprint(s)) in seen:
                     continue
                 seen.add(f)
                 if n <= x:
-                    p = np.sort(order(s, prefix(n, 2)))
+                    p = order(s, prefix(n, 2))
                     i, j = np.triu_indices(len(p), 1) if n > 1 else (np.zeros(1, int),) * 2
+                    rooms.append(n - j + (n > 1))
                     known = order.has(p)
                     hot.append(known[i] & known[j])
                     with np.errstate(over="ignore"):
-                        keys.append(mix64(p[i] * np.uint64(_ODD) + mix64(p[j])) if n > 1 else p)
+                        keys.append(mix64(np.minimum(p[i], p[j]) * np.uint64(_ODD) + mix64(np.maximum(p[i], p[j]))) if n > 1 else p)
                     light.append(np.ones(len(keys[-1]), bool))
                     fps.append(np.full(len(keys[-1]), f))
                     sizes.append(np.full(len(keys[-1]), n, np.int32))
                 if 5 * n >= 4 * (x + 1):
                     keys.append(order(s, prefix(n)))
+                    rooms.append(n - np.arange(len(keys[-1])))
                     hot.append(order.has(keys[-1]))
                     light.append(np.zeros(len(keys[-1]), bool))
                     fps.append(np.full(len(keys[-1]), f))
                     sizes.append(np.full(len(keys[-1]), n, np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(light)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(hot))], ["key", "light", "fp", "n", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(light)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(rooms).astype(np.int32)), pa.array(np.concatenate(hot))], ["key", "light", "fp", "n", "room", "hot"])
 
-    return docs.select("text").mapInArrow(post, "key long, light boolean, fp long, n int, hot boolean")
+    return docs.select("text").mapInArrow(post, "key long, light boolean, fp long, n int, room int, hot boolean")
 
 
 def _sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
@@ -281,15 +287,23 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 _SIZES = "5 * least(na, nb) >= 4 * greatest(na, nb)"
+#: What two sets that meet here first may still share is enough for a link.
+_ROOM = "least(ra, rb) >= ceil((na + nb) * 4 / 9.0)"
 
 
-def _hub_pairs(members: DataFrame, hubs: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Hubs (key, h, hn) of each list, by a minimum per key and hash cell, and the pairs (a, b, na, nb) of hubs with members."""
+def _met(members: DataFrame, others: DataFrame, condition: str = "true") -> DataFrame:
+    """Pairs (a, b, na, nb), a < b, of members with others of the same list; both have key, light, fp, n, room."""
+    left = members.withColumnsRenamed({"fp": "f", "n": "na", "room": "ra"})
+    right = others.withColumnsRenamed({"fp": "h", "n": "nb", "room": "rb"})
+    met = left.join(right, ["key", "light"]).where(f"f != h and {_SIZES} and {_ROOM} and {condition}")
+    swap = F.col("f") > F.col("h")
+    return met.select(F.least("f", "h").alias("a"), F.greatest("f", "h").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
+
+
+def _hubs(members: DataFrame, hubs: int, turn: int) -> DataFrame:
+    """Up to `hubs` members of each list: the least of each cell of a hash, so that lists of like members have like hubs."""
     cell = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(hubs))
-    picked = members.groupBy("key", "light", cell.alias("cell")).agg(F.min(F.struct("fp", "n")).alias("h")).select("key", "light", F.col("h.fp").alias("h"), F.col("h.n").alias("hn"))
-    met = members.join(picked, ["key", "light"]).where("fp != h")
-    ordered = met.select(F.least("fp", "h").alias("a"), F.greatest("fp", "h").alias("b"), F.when(F.col("fp") < F.col("h"), F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(F.col("fp") < F.col("h"), F.col("hn")).otherwise(F.col("n")).alias("nb"))
-    return picked, ordered.where(_SIZES).distinct()
+    return members.groupBy("key", "light", cell.alias("cell")).agg(F.min(F.struct("fp", "n", "room")).alias("h")).select("key", "light", "h.*")
 
 
 def links(docs: DataFrame, scratch: Scratch, width: int = 5) -> DataFrame:
@@ -306,39 +320,39 @@ def links(docs: DataFrame, scratch: Scratch, width: int = 5) -> DataFrame:
     listed = posted.repartition(*by).dropDuplicates([*by, "fp"]).withColumn("df", F.count("*").over(Window.partitionBy(*by))).where("hot or df > 1")
     listed = scratch.keep(listed.drop("salt"), "listed")
     is_short = ~F.col("hot") & (F.col("df") <= SHORT)
-    short, long = listed.where(is_short), listed.where(~is_short).select("key", "light", "fp", "n")
-    left = short.select("key", "light", F.col("fp").alias("a"), F.col("n").alias("na"))
-    right = short.select("key", "light", F.col("fp").alias("b"), F.col("n").alias("nb"))
+    short, long = listed.where(is_short), listed.where(~is_short).select("key", "light", "fp", "n", "room")
+    left = short.select("key", "light", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("room").alias("ra"))
+    right = short.select("key", "light", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("room").alias("rb"))
     met = left.join(right, ["key", "light"]).where(f"a < b and {_SIZES} and (light or greatest(na, nb) > {x})")
-    shared = met.groupBy("a", "b", "na", "nb", "light").agg(F.count("*").alias("c"))
+    shared = met.groupBy("a", "b", "na", "nb", "light").agg(F.count("*").alias("c"), F.max(F.expr(_ROOM)).alias("room")).where("room")
     # of light sets the shared subsets are counted: c = m (m - 1) / 2
     m = F.when(F.col("light") & (F.greatest("na", "nb") > 1), (1 + F.sqrt(1 + 8 * F.col("c"))) / 2).otherwise(F.col("c"))
     k = F.when(F.col("light"), 2).otherwise(1)
     rest = F.greatest(*[F.ceil(F.expr(f"{n} * 4 / 5.0")) for n in ("na", "nb")]) - k
     enough = m + F.greatest(rest, F.lit(0)) + 1e-6 >= F.expr("ceil((na + nb) * 4 / 9.0)")
     near = shared.where(enough).select("a", "b", "na", "nb")
-    _, hub = _hub_pairs(long, HUBS, 0)
-    pairs = scratch.keep(near.unionByName(hub).distinct(), "pairs-0")
+    hubs = scratch.keep(_hubs(long, HUBS, 0), "hubs-0")
+    pairs = scratch.keep(near.unionByName(_met(long, hubs)).distinct(), "pairs-0")
     wanted = bloom(pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(long.select("fp")).distinct(), "fp")
     sets = scratch.keep(_sets(docs, width, wanted), "sets")
     found = scratch.keep(_linked(pairs, sets), "links-0")
     turn = 0
     while not long.isEmpty():
-        turn += 1
-        hubs, _ = _hub_pairs(long, HUBS * 2 ** (turn - 1), turn - 1)
-        roots = components(scratch, found, f"part-{turn}")
-        labelled = long.join(hubs.select("key", "light", F.col("h").alias("fp")), ["key", "light", "fp"], "left_anti").join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        labelled = scratch.keep(labelled, f"labelled-{turn}")
+        # hubs have met all of their lists; of the rest, pairs across components are left
+        roots = components(scratch, found, f"part-{turn}").withColumnRenamed("id", "fp")
+        rest = long.join(hubs.select("key", "light", "fp"), ["key", "light", "fp"], "left_anti")
+        labelled = scratch.keep(rest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"labelled-{turn}")
         by_root = labelled.groupBy("key", "light", "root").agg(F.count("*").alias("c"))
-        most = by_root.groupBy("key", "light").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select("key", "light", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("others"))
-        open_lists = labelled.join(most.where("others > 0"), ["key", "light"])
-        few = open_lists.where(f"others <= {HUBS * 2 ** turn}")
-        odd = few.where("root != main").select("key", "light", F.col("fp").alias("h"), F.col("n").alias("hn"), F.col("root").alias("hroot"))
-        met = few.join(odd, ["key", "light"]).where("root != hroot")
-        last = met.select(F.least("fp", "h").alias("a"), F.greatest("fp", "h").alias("b"), F.when(F.col("fp") < F.col("h"), F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(F.col("fp") < F.col("h"), F.col("hn")).otherwise(F.col("n")).alias("nb")).where(_SIZES).distinct()
-        long = scratch.keep(open_lists.where(f"others > {HUBS * 2 ** turn}").select("key", "light", "fp", "n"), f"open-{turn}")
-        _, hub = _hub_pairs(long, HUBS * 2**turn, turn)
-        pairs = scratch.keep(last.unionByName(hub).distinct(), f"pairs-{turn}")
+        most = by_root.groupBy("key", "light").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select("key", "light", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("others"), "all")
+        lists = scratch.keep(labelled.join(most.where("others > 0"), ["key", "light"]), f"lists-{turn}")
+        # few rows outside the largest component: they meet all others; else more hubs do
+        is_few = (F.col("others") <= FEW) | (F.col("all") <= HUBS * 4**turn)
+        few = lists.where(is_few).drop("others", "all")
+        long = scratch.keep(lists.where(~is_few).select("key", "light", "fp", "n", "room"), f"open-{turn}")
+        turn += 1
+        hubs = scratch.keep(_hubs(long, HUBS * 4**turn, turn), f"hubs-{turn}")
+        last = _met(few.drop("main"), few.where("root != main").drop("main").withColumnRenamed("root", "hroot"), "root != hroot")
+        pairs = scratch.keep(last.unionByName(_met(long, hubs)).distinct(), f"pairs-{turn}")
         found = scratch.keep(found.unionByName(_linked(pairs, sets)).distinct(), f"links-{turn}")
     return found
 
