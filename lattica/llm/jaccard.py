@@ -37,9 +37,9 @@ from .common import Scratch, bloom, components, in_bloom, mix64, slices
 #: Bytes of text that are hashed at once, documents counted together for heavy shingles, rows of the heavy list (1 MB).
 CHUNK, COUNTED_TOKENS, HEAVY_ROWS = 1 << 19, 2_000_000, 1 << 16
 #: A shingle counts as heavy from so many documents on (a matter of speed only).
-HEAVY_FROM = 32
+HEAVY_FROM = 16
 #: The longest list that gives all its pairs, the hubs of the first round, the largest size that may be light.
-SHORT, HUBS, LIGHT_MOST = 48, 8, 64
+SHORT, HUBS, LIGHT_MOST = 12, 2, 64
 #: Shares into which the lists of heavy shingles are dealt.
 SALTS = 256
 #: Members outside a list's largest component that meet the whole list at once.
@@ -278,8 +278,9 @@ def signatures(docs: DataFrame, width: int = 5, id_column: str = "doc_id") -> Da
     return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, fp long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sets are similar enough."""
+def _linked(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose sets are similar enough; the sets in question are made anew and shuffled once."""
+    sets = _sets(docs, width, bloom(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp"))
     one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
     both = one.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -288,7 +289,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 _SIZES = "5 * least(na, nb) >= 4 * greatest(na, nb)"
 #: What two sets that meet here first may still share is enough for a link.
-_ROOM = "least(ra, rb) >= ceil((na + nb) * 4 / 9.0)"
+_ROOM = "9 * least(ra, rb) >= 4 * (na + nb)"
 
 
 def _met(members: DataFrame, others: DataFrame, condition: str = "true") -> DataFrame:
@@ -328,14 +329,19 @@ def links(docs: DataFrame, scratch: Scratch, width: int = 5) -> DataFrame:
     # of light sets the shared subsets are counted: c = m (m - 1) / 2
     m = F.when(F.col("light") & (F.greatest("na", "nb") > 1), (1 + F.sqrt(1 + 8 * F.col("c"))) / 2).otherwise(F.col("c"))
     k = F.when(F.col("light"), 2).otherwise(1)
-    rest = F.greatest(*[F.ceil(F.expr(f"{n} * 4 / 5.0")) for n in ("na", "nb")]) - k
-    enough = m + F.greatest(rest, F.lit(0)) + 1e-6 >= F.expr("ceil((na + nb) * 4 / 9.0)")
+    rest = F.expr("(4 * greatest(na, nb) + 4) div 5") - k
+    enough = m + F.greatest(rest, F.lit(0)) + 1e-6 >= F.expr("(4 * (na + nb) + 8) div 9")
     near = shared.where(enough).select("a", "b", "na", "nb")
     hubs = scratch.keep(_hubs(long, HUBS, 0), "hubs-0")
     pairs = scratch.keep(near.unionByName(_met(long, hubs)).distinct(), "pairs-0")
-    wanted = bloom(pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(long.select("fp")).distinct(), "fp")
-    sets = scratch.keep(_sets(docs, width, wanted), "sets")
-    found = scratch.keep(_linked(pairs, sets), "links-0")
+    # each set meets its least partner first; then only pairs across components are left, fewer by far
+    least = scratch.keep(pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb"), "least")
+    found = scratch.keep(_linked(least, docs, width), "links-least")
+    roots = components(scratch, found, "least-roots")
+    side = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    across = pairs.join(least.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)")
+    across = scratch.keep(across.select("a", "b", "na", "nb"), "across")
+    found = scratch.keep(found.unionByName(_linked(across, docs, width)), "links-0")
     turn = 0
     while not long.isEmpty():
         # hubs have met all of their lists; of the rest, pairs across components are left
@@ -353,7 +359,8 @@ def links(docs: DataFrame, scratch: Scratch, width: int = 5) -> DataFrame:
         hubs = scratch.keep(_hubs(long, HUBS * 4**turn, turn), f"hubs-{turn}")
         last = _met(few.drop("main"), few.where("root != main").drop("main").withColumnRenamed("root", "hroot"), "root != hroot")
         pairs = scratch.keep(last.unionByName(_met(long, hubs)).distinct(), f"pairs-{turn}")
-        found = scratch.keep(found.unionByName(_linked(pairs, sets)).distinct(), f"links-{turn}")
+        if not pairs.isEmpty():
+            found = scratch.keep(found.unionByName(_linked(pairs, docs, width)).distinct(), f"links-{turn}")
     return found
 
 
