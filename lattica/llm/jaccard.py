@@ -42,8 +42,8 @@ HEAVY_FROM = 16
 SHORT, HUBS, LIGHT_MOST = 12, 2, 64
 #: Shares into which the lists of heavy shingles are dealt.
 SALTS = 256
-#: Members outside a list's largest component that meet the whole list at once.
-FEW = 1024
+#: Pairs that a list may give at once when the members outside its largest component meet all others.
+FEW = 10_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = 0x9E3779B97F4A7C15
@@ -248,22 +248,17 @@ def _postings(docs: DataFrame, width: int, heavy: np.ndarray, x: int) -> DataFra
 
 
 def _sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
-    """(fp, s) of the distinct sets that the Bloom filter `wanted` may hold."""
+    """(fp, s) of the distinct sets of documents whose id the Bloom filter `wanted` may hold, or is null."""
 
     def some(batches):
         shingler = Shingler(width)
         for batch in slices(batches):
-            found = {}
-            for s in shingler(batch.column(0).to_pylist()):
-                if len(s):
-                    found[fingerprint(s)] = s
-            fps = np.fromiter(found, dtype=np.int64, count=len(found))
-            hits = fps[in_bloom(wanted, fps)] if len(fps) else fps
-            for k in range(0, len(hits), 500):
-                some_hits = hits[k : k + 500]
-                yield pa.RecordBatch.from_arrays([pa.array(some_hits), pa.array([found[f].view(np.int64) for f in some_hits.tolist()], type=pa.list_(pa.int64()))], ["fp", "s"])
+            ids = batch.column(0)
+            hits = in_bloom(wanted, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            found = {fingerprint(s): s for s in shingler(batch.column(1).filter(pa.array(hits)).to_pylist()) if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.int64()), pa.array([s.view(np.int64) for s in found.values()], type=pa.list_(pa.int64()))], ["fp", "s"])
 
-    return docs.select("text").mapInArrow(some, "fp long, s array<long>").dropDuplicates(["fp"])
+    return docs.select("doc_id", "text").mapInArrow(some, "fp long, s array<long>").dropDuplicates(["fp"])
 
 
 def signatures(docs: DataFrame, width: int = 5, id_column: str = "doc_id") -> DataFrame:
@@ -278,9 +273,10 @@ def signatures(docs: DataFrame, width: int = 5, id_column: str = "doc_id") -> Da
     return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, fp long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, own: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose sets are similar enough; the sets in question are made anew and shuffled once."""
-    sets = _sets(docs, width, bloom(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp"))
+    fps = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    sets = _sets(docs, width, bloom(fps.join(own, "fp").where("least is not null"), "least"))
     one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
     both = one.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -292,11 +288,11 @@ _SIZES = "5 * least(na, nb) >= 4 * greatest(na, nb)"
 _ROOM = "9 * least(ra, rb) >= 4 * (na + nb)"
 
 
-def _met(members: DataFrame, others: DataFrame, condition: str = "true") -> DataFrame:
-    """Pairs (a, b, na, nb), a < b, of members with others of the same list; both have key, light, fp, n, room."""
-    left = members.withColumnsRenamed({"fp": "f", "n": "na", "room": "ra"})
-    right = others.withColumnsRenamed({"fp": "h", "n": "nb", "room": "rb"})
-    met = left.join(right, ["key", "light"]).where(f"f != h and {_SIZES} and {_ROOM} and {condition}")
+def _met(members: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb), a < b, of members with others of the same list and other components."""
+    left = members.select("key", "light", F.col("fp").alias("f"), F.col("n").alias("na"), F.col("room").alias("ra"), F.col("root").alias("fr"))
+    right = others.select("key", "light", F.col("fp").alias("h"), F.col("n").alias("nb"), F.col("room").alias("rb"), F.col("root").alias("hr"))
+    met = left.join(right, ["key", "light"]).where(f"fr != hr and {_SIZES} and {_ROOM}")
     swap = F.col("f") > F.col("h")
     return met.select(F.least("f", "h").alias("a"), F.greatest("f", "h").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
 
@@ -304,11 +300,11 @@ def _met(members: DataFrame, others: DataFrame, condition: str = "true") -> Data
 def _hubs(members: DataFrame, hubs: int, turn: int) -> DataFrame:
     """Up to `hubs` members of each list: the least of each cell of a hash, so that lists of like members have like hubs."""
     cell = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(hubs))
-    return members.groupBy("key", "light", cell.alias("cell")).agg(F.min(F.struct("fp", "n", "room")).alias("h")).select("key", "light", "h.*")
+    return members.groupBy("key", "light", cell.alias("cell")).agg(F.min(F.struct("fp", "n", "room", "root")).alias("h")).select("key", "light", "h.*")
 
 
-def links(docs: DataFrame, scratch: Scratch, width: int = 5) -> DataFrame:
-    """Links (a, b) between distinct sets, by fingerprint, whose components are those of all links."""
+def links(docs: DataFrame, own: DataFrame, scratch: Scratch, width: int = 5) -> DataFrame:
+    """Links (a, b) between distinct sets, by fingerprint, whose components are those of all links; own: (fp, least doc_id)."""
     spark = scratch.spark
     counted = scratch.keep(_counted(docs, width), "counted")
     heavy = counted.where((F.col("kind") == 0) & (F.col("n") >= HEAVY_FROM)).orderBy(F.desc("n"), "key").select("n", "key").limit(HEAVY_ROWS).toArrow()
@@ -321,7 +317,7 @@ def links(docs: DataFrame, scratch: Scratch, width: int = 5) -> DataFrame:
     listed = posted.repartition(*by).dropDuplicates([*by, "fp"]).withColumn("df", F.count("*").over(Window.partitionBy(*by))).where("hot or df > 1")
     listed = scratch.keep(listed.drop("salt"), "listed")
     is_short = ~F.col("hot") & (F.col("df") <= SHORT)
-    short, long = listed.where(is_short), listed.where(~is_short).select("key", "light", "fp", "n", "room")
+    short, long = listed.where(is_short), listed.where(~is_short).select("key", "light", "fp", "n", "room", F.col("fp").alias("root"))
     left = short.select("key", "light", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("room").alias("ra"))
     right = short.select("key", "light", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("room").alias("rb"))
     met = left.join(right, ["key", "light"]).where(f"a < b and {_SIZES} and (light or greatest(na, nb) > {x})")
@@ -336,31 +332,30 @@ def links(docs: DataFrame, scratch: Scratch, width: int = 5) -> DataFrame:
     pairs = scratch.keep(near.unionByName(_met(long, hubs)).distinct(), "pairs-0")
     # each set meets its least partner first; then only pairs across components are left, fewer by far
     least = scratch.keep(pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb"), "least")
-    found = scratch.keep(_linked(least, docs, width), "links-least")
+    found = scratch.keep(_linked(least, docs, own, width), "links-least")
     roots = components(scratch, found, "least-roots")
     side = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
     across = pairs.join(least.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)")
     across = scratch.keep(across.select("a", "b", "na", "nb"), "across")
-    found = scratch.keep(found.unionByName(_linked(across, docs, width)), "links-0")
+    found = scratch.keep(found.unionByName(_linked(across, docs, own, width)), "links-0")
     turn = 0
     while not long.isEmpty():
         # hubs have met all of their lists; of the rest, pairs across components are left
         roots = components(scratch, found, f"part-{turn}").withColumnRenamed("id", "fp")
         rest = long.join(hubs.select("key", "light", "fp"), ["key", "light", "fp"], "left_anti")
-        labelled = scratch.keep(rest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"labelled-{turn}")
+        labelled = scratch.keep(rest.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"labelled-{turn}")
         by_root = labelled.groupBy("key", "light", "root").agg(F.count("*").alias("c"))
         most = by_root.groupBy("key", "light").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select("key", "light", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("others"), "all")
         lists = scratch.keep(labelled.join(most.where("others > 0"), ["key", "light"]), f"lists-{turn}")
-        # few rows outside the largest component: they meet all others; else more hubs do
-        is_few = (F.col("others") <= FEW) | (F.col("all") <= HUBS * 4**turn)
-        few = lists.where(is_few).drop("others", "all")
-        long = scratch.keep(lists.where(~is_few).select("key", "light", "fp", "n", "room"), f"open-{turn}")
+        # few rows outside the largest component meet all others; else more hubs do
         turn += 1
+        is_few = (F.col("others") * F.col("all") <= FEW) | (F.col("all") <= HUBS * 4**turn)
+        few = lists.where(is_few)
+        long = scratch.keep(lists.where(~is_few).drop("main", "others", "all"), f"open-{turn}")
         hubs = scratch.keep(_hubs(long, HUBS * 4**turn, turn), f"hubs-{turn}")
-        last = _met(few.drop("main"), few.where("root != main").drop("main").withColumnRenamed("root", "hroot"), "root != hroot")
-        pairs = scratch.keep(last.unionByName(_met(long, hubs)).distinct(), f"pairs-{turn}")
+        pairs = scratch.keep(_met(few, few.where("root != main")).unionByName(_met(long, hubs)).distinct(), f"pairs-{turn}")
         if not pairs.isEmpty():
-            found = scratch.keep(found.unionByName(_linked(pairs, docs, width)).distinct(), f"links-{turn}")
+            found = scratch.keep(found.unionByName(_linked(pairs, docs, own, width)).distinct(), f"links-{turn}")
     return found
 
 
@@ -369,8 +364,8 @@ def classes(docs: DataFrame, width: int = 5, id_column: str = "doc_id") -> DataF
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(f"`{id_column}`").alias(id_column), "text")
     signed = scratch.keep(signatures(texts, width, id_column), "signed")
-    roots = components(scratch, links(texts, scratch, width), "roots")
-    own = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    own = scratch.keep(signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "own")
+    roots = components(scratch, links(texts.select(F.col(id_column).cast("long").alias("doc_id"), "text"), own, scratch, width), "roots")
     rooted = own.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
