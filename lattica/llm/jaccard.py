@@ -15,7 +15,7 @@ A document's set holds the hashes (64 bits) of its 5-word shingles; two document
 4. Long lists are not expanded: blocks of members (hubs) are matched against the whole list, linked members
    fall into one component, and only what lies outside a list's largest component is matched again, against
    everything, until nothing is left. No pair across components goes untested, so no link is lost.
-5. Candidates are tested on their whole sets, links go to connected components.
+5. Candidates whose sketches (256 counts by hash) leave room for a link are tested on their whole sets, links go to connected components.
 
 Exact copies have equal sets, hence one fingerprint; only distinct sets take part in 2 to 5. Null or empty text, and text
 without words, has an empty set and is its own class. Documents of fewer than five words have one shingle. Rows that
@@ -43,7 +43,7 @@ SHORT, HUBS, LIGHT_MOST = 12, 2, 64
 #: Shares into which the lists of heavy shingles are dealt.
 SALTS = 256
 #: Pairs that a list may give at once when the members outside its largest component meet all others.
-FEW = 10_000
+FEW = 100_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = 0x9E3779B97F4A7C15
@@ -261,16 +261,34 @@ def _sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(some, "fp long, s array<long>").dropDuplicates(["fp"])
 
 
+#: Cells of a sketch: how many of a set's members have each value of the top bits of the hash.
+CELLS = 256
+
+
+def sketch(s: np.ndarray) -> np.ndarray | None:
+    """Members of a set by cell; None where a cell overflows a byte."""
+    n = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+    return n.astype(np.int8) if n.max(initial=0) < 128 else None
+
+
 def signatures(docs: DataFrame, width: int = 5, id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, fp) of every row; fp is null for an empty set."""
+    """(doc_id, n_shingles, fp, sketch) of every row; fp is null for an empty set."""
 
     def sign(batches):
         shingler = Shingler(width)
         for batch in slices(batches):
             sets = shingler(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], type=pa.int64())], ["doc_id", "n_shingles", "fp"])
+            cells = pa.array([sketch(s) if len(s) else None for s in sets], type=pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], type=pa.int64()), cells], ["doc_id", "n_shingles", "fp", "sketch"])
+
+    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, fp long, sketch array<tinyint>")
+
 
-    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, fp long")
+def _possible(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs whose sketches leave room for a link: no cell shares more than its lesser count."""
+    side = lambda c: own.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}"))
+    most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.coalesce(9 * most >= 4 * (F.col("na") + F.col("nb")), F.lit(True))).select("a", "b", "na", "nb")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, own: DataFrame, width: int) -> DataFrame:
@@ -329,7 +347,7 @@ def links(docs: DataFrame, own: DataFrame, scratch: Scratch, width: int = 5) ->
     enough = m + F.greatest(rest, F.lit(0)) + 1e-6 >= F.expr("(4 * (na + nb) + 8) div 9")
     near = shared.where(enough).select("a", "b", "na", "nb")
     hubs = scratch.keep(_hubs(long, HUBS, 0), "hubs-0")
-    pairs = scratch.keep(near.unionByName(_met(long, hubs)).distinct(), "pairs-0")
+    pairs = scratch.keep(_possible(near.unionByName(_met(long, hubs)).distinct(), own), "pairs-0")
     # each set meets its least partner first; then only pairs across components are left, fewer by far
     least = scratch.keep(pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb"), "least")
     found = scratch.keep(_linked(least, docs, own, width), "links-least")
@@ -345,15 +363,16 @@ def links(docs: DataFrame, own: DataFrame, scratch: Scratch, width: int = 5) ->
         rest = long.join(hubs.select("key", "light", "fp"), ["key", "light", "fp"], "left_anti")
         labelled = scratch.keep(rest.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"labelled-{turn}")
         by_root = labelled.groupBy("key", "light", "root").agg(F.count("*").alias("c"))
-        most = by_root.groupBy("key", "light").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select("key", "light", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("others"), "all")
-        lists = scratch.keep(labelled.join(most.where("others > 0"), ["key", "light"]), f"lists-{turn}")
-        # few rows outside the largest component meet all others; else more hubs do
+        most = by_root.groupBy("key", "light").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select("key", "light", F.col("m.root").alias("main"), F.col("m.c").alias("largest"), "all")
+        lists = scratch.keep(labelled.join(most.where("largest < all"), ["key", "light"]), f"lists-{turn}")
+        # few pairs are left, or links are rare: members outside the largest component meet all others; else more hubs do
         turn += 1
-        is_few = (F.col("others") * F.col("all") <= FEW) | (F.col("all") <= HUBS * 4**turn)
+        left = (F.col("all") - F.col("largest")) * F.col("all")
+        is_few = (left <= FEW) | ((8 * F.col("largest") <= F.col("all")) & (left <= 40 * FEW)) | (F.col("all") <= HUBS * 4**turn)
         few = lists.where(is_few)
-        long = scratch.keep(lists.where(~is_few).drop("main", "others", "all"), f"open-{turn}")
+        long = scratch.keep(lists.where(~is_few).drop("main", "largest", "all"), f"open-{turn}")
         hubs = scratch.keep(_hubs(long, HUBS * 4**turn, turn), f"hubs-{turn}")
-        pairs = scratch.keep(_met(few, few.where("root != main")).unionByName(_met(long, hubs)).distinct(), f"pairs-{turn}")
+        pairs = scratch.keep(_possible(_met(few, few.where("root != main")).unionByName(_met(long, hubs)).distinct(), own), f"pairs-{turn}")
         if not pairs.isEmpty():
             found = scratch.keep(found.unionByName(_linked(pairs, docs, own, width)).distinct(), f"links-{turn}")
     return found
@@ -364,7 +383,7 @@ def classes(docs: DataFrame, width: int = 5, id_column: str = "doc_id") -> DataF
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(f"`{id_column}`").alias(id_column), "text")
     signed = scratch.keep(signatures(texts, width, id_column), "signed")
-    own = scratch.keep(signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "own")
+    own = scratch.keep(signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "own")
     roots = components(scratch, links(texts.select(F.col(id_column).cast("long").alias("doc_id"), "text"), own, scratch, width), "roots")
     rooted = own.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
