@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,13 +121,47 @@ def in_bloom(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return found
 
 
+#: Edges that one task may unite.
+SMALL_EDGES = 15_000
+
+
+def _united(batches):
+    """Union-find over the edges of all batches."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    ids = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array([top(i) for i in ids], type=pa.int64())], ["id", "root"])
+
+
+def merged(scratch: Scratch, roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The components (id, root) after more links (a, b): only links across components take part."""
+    side = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    across = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = components(scratch, across, name)
+    moved = roots.join(more.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    return scratch.keep(moved.unionByName(more.join(roots, "id", "left_anti")), f"{name}-merged")
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b): one row (id, root) per id in an edge, root the smallest id of its component.
 
     Alternating large-star and small-star steps; every step is an aggregation and a join on the node, so a node of huge
     degree is combined before the shuffle and its join split. Each round's edges are a table in the shared folder.
+    Up to SMALL_EDGES edges are united by one task instead.
     """
     now = scratch.keep(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    if now.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES:
+        return scratch.keep(now.coalesce(1).mapInArrow(_united, "id long, root long"), f"{name}-all")
     before, step = None, 0
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom, components, in_bloom, mix64, slices
+from .common import Scratch, bloom, components, in_bloom, merged, mix64, slices
 
-#: Bytes of text that are hashed at once, documents counted together for heavy shingles, rows of the heavy list (1 MB).
-CHUNK, COUNTED_TOKENS, HEAVY_ROWS = 1 << 19, 2_000_000, 1 << 16
+#: Bytes of text that are hashed at once, documents counted together for heavy shingles, rows of the heavy list (2 MB).
+CHUNK, COUNTED_TOKENS, HEAVY_ROWS = 1 << 19, 2_000_000, 1 << 18
 #: A shingle counts as heavy from so many documents on (a matter of speed only).
-HEAVY_FROM = 16
+HEAVY_FROM = 4
 #: The longest list that gives all its pairs, the hubs of the first round, the largest size that may be light.
 SHORT, HUBS, LIGHT_MOST = 12, 2, 64
 #: Shares into which the lists of heavy shingles are dealt.
@@ -139,7 +139,7 @@ def _counted(docs: DataFrame, width: int) -> DataFrame:
             found, back, times = np.unique(every, return_inverse=True, return_counts=True)
             sizes = np.array([len(s) for s in kept])
             firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            met = np.concatenate([[0], np.cumsum(np.minimum(times, HEAVY_FROM)[back] - 1)])
+            met = np.concatenate([[0], np.cumsum(np.minimum(times, SHORT)[back] - 1)])
             pairs = met[firsts + np.array([prefix(n) for n in sizes])] - met[firsts]
             cell = np.minimum(sizes, LIGHT_MOST + 1)
             docs_at, pairs_at = (np.bincount(cell, w, LIGHT_MOST + 2) for w in (None, pairs))
@@ -181,8 +181,8 @@ class Order:
     def __init__(self, heavy: np.ndarray):
         by = np.argsort(heavy, kind="stable")
         self.keys, self.rank = heavy[by], by
-        self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[(heavy >> np.uint64(44)).astype(np.int64)] = True
+        self.seen = np.zeros(1 << 22, dtype=bool)
+        self.seen[(heavy >> np.uint64(42)).astype(np.int64)] = True
 
     def has(self, s: np.ndarray) -> np.ndarray:
         """Which of some shingles are heavy."""
@@ -192,7 +192,7 @@ class Order:
 
     def __call__(self, s: np.ndarray, n: int) -> np.ndarray:
         """The first n of a sorted set."""
-        spot = np.flatnonzero(self.seen[(s >> np.uint64(44)).astype(np.int64)])
+        spot = np.flatnonzero(self.seen[(s >> np.uint64(42)).astype(np.int64)])
         if not len(spot):
             return s[:n]
         at = np.minimum(np.searchsorted(self.keys, s[spot]), len(self.keys) - 1)
@@ -321,8 +321,8 @@ def _hubs(members: DataFrame, hubs: int, turn: int) -> DataFrame:
     return members.groupBy("key", "light", cell.alias("cell")).agg(F.min(F.struct("fp", "n", "room", "root")).alias("h")).select("key", "light", "h.*")
 
 
-def links(docs: DataFrame, own: DataFrame, scratch: Scratch, width: int = 5) -> DataFrame:
-    """Links (a, b) between distinct sets, by fingerprint, whose components are those of all links; own: (fp, least doc_id)."""
+def linked_sets(docs: DataFrame, own: DataFrame, scratch: Scratch, width: int = 5) -> DataFrame:
+    """Components (id, root) of linked distinct sets, by fingerprint; own: (fp, least doc_id, sketch)."""
     spark = scratch.spark
     counted = scratch.keep(_counted(docs, width), "counted")
     heavy = counted.where((F.col("kind") == 0) & (F.col("n") >= HEAVY_FROM)).orderBy(F.desc("n"), "key").select("n", "key").limit(HEAVY_ROWS).toArrow()
@@ -350,18 +350,16 @@ def links(docs: DataFrame, own: DataFrame, scratch: Scratch, width: int = 5) ->
     pairs = scratch.keep(_possible(near.unionByName(_met(long, hubs)).distinct(), own), "pairs-0")
     # each set meets its least partner first; then only pairs across components are left, fewer by far
     least = scratch.keep(pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb"), "least")
-    found = scratch.keep(_linked(least, docs, own, width), "links-least")
-    roots = components(scratch, found, "least-roots")
+    roots = components(scratch, _linked(least, docs, own, width), "roots")
     side = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
     across = pairs.join(least.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)")
     across = scratch.keep(across.select("a", "b", "na", "nb"), "across")
-    found = scratch.keep(found.unionByName(_linked(across, docs, own, width)), "links-0")
+    roots = merged(scratch, roots, scratch.keep(_linked(across, docs, own, width), "links-0"), "roots-0")
     turn = 0
     while not long.isEmpty():
         # hubs have met all of their lists; of the rest, pairs across components are left
-        roots = components(scratch, found, f"part-{turn}").withColumnRenamed("id", "fp")
         rest = long.join(hubs.select("key", "light", "fp"), ["key", "light", "fp"], "left_anti")
-        labelled = scratch.keep(rest.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"labelled-{turn}")
+        labelled = scratch.keep(rest.drop("root").join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"labelled-{turn}")
         by_root = labelled.groupBy("key", "light", "root").agg(F.count("*").alias("c"))
         most = by_root.groupBy("key", "light").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select("key", "light", F.col("m.root").alias("main"), F.col("m.c").alias("largest"), "all")
         lists = scratch.keep(labelled.join(most.where("largest < all"), ["key", "light"]), f"lists-{turn}")
@@ -374,8 +372,8 @@ def links(docs: DataFrame, own: DataFrame, scratch: Scratch, width: int = 5) ->
         hubs = scratch.keep(_hubs(long, HUBS * 4**turn, turn), f"hubs-{turn}")
         pairs = scratch.keep(_possible(_met(few, few.where("root != main")).unionByName(_met(long, hubs)).distinct(), own), f"pairs-{turn}")
         if not pairs.isEmpty():
-            found = scratch.keep(found.unionByName(_linked(pairs, docs, own, width)).distinct(), f"links-{turn}")
-    return found
+            roots = merged(scratch, roots, scratch.keep(_linked(pairs, docs, own, width), f"links-{turn}"), f"roots-{turn}")
+    return roots
 
 
 def classes(docs: DataFrame, width: int = 5, id_column: str = "doc_id") -> DataFrame:
@@ -384,7 +382,7 @@ def classes(docs: DataFrame, width: int = 5, id_column: str = "doc_id") -> DataF
     texts = docs.select(F.col(f"`{id_column}`").alias(id_column), "text")
     signed = scratch.keep(signatures(texts, width, id_column), "signed")
     own = scratch.keep(signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "own")
-    roots = components(scratch, links(texts.select(F.col(id_column).cast("long").alias("doc_id"), "text"), own, scratch, width), "roots")
+    roots = linked_sets(texts.select(F.col(id_column).cast("long").alias("doc_id"), "text"), own, scratch, width)
     rooted = own.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
