@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import relational  # noqa: F401
+    from . import functions, relational  # noqa: F401
 
 
 def queries() -> dict:
