@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream of the events table's files."""
     path = f"{sf_dir}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
+    if table.inputFiles()[0].rstrip("/").endswith("events.parquet"):
+        # a stream reads directories: a table of one file is picked out of the data directory by its name
+        return stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.parquet(path)
 
 
 def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
