@@ -10,8 +10,7 @@ A document's set holds the hashes (64 bits) of its 5-word shingles; two document
    and light ones that could link to them, enter inverted lists of the former prefix, which are scanned. The boundary x
    minimises the estimated cost: subsets written, against postings written and pairs met in the lists.
    At the first shingle that two sets share, what stands before it is unshared: the places bound the overlap.
-3. Lists of up to SHORT sets give all their pairs. A pair then needs as many shared prefix shingles as its sizes imply
-   (the bound is exact, for such lists count all that a pair shares unless it also shares a long one).
+3. Lists of up to SHORT sets give all their pairs.
 4. Long lists are not expanded: blocks of members (hubs) are matched against the whole list, linked members
    fall into one component, and only what lies outside a list's largest component is matched again, against
    everything, until nothing is left. No pair across components goes untested, so no link is lost.
@@ -306,11 +305,11 @@ _SIZES = "5 * least(na, nb) >= 4 * greatest(na, nb)"
 _ROOM = "9 * least(ra, rb) >= 4 * (na + nb)"
 
 
-def _met(members: DataFrame, others: DataFrame) -> DataFrame:
+def _met(members: DataFrame, others: DataFrame, condition: str = "true") -> DataFrame:
     """Pairs (a, b, na, nb), a < b, of members with others of the same list and other components."""
     left = members.select("key", "light", F.col("fp").alias("f"), F.col("n").alias("na"), F.col("room").alias("ra"), F.col("root").alias("fr"))
     right = others.select("key", "light", F.col("fp").alias("h"), F.col("n").alias("nb"), F.col("room").alias("rb"), F.col("root").alias("hr"))
-    met = left.join(right, ["key", "light"]).where(f"fr != hr and {_SIZES} and {_ROOM}")
+    met = left.join(right, ["key", "light"]).where(f"fr != hr and {_SIZES} and {_ROOM} and {condition}")
     swap = F.col("f") > F.col("h")
     return met.select(F.least("f", "h").alias("a"), F.greatest("f", "h").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
 
@@ -336,16 +335,9 @@ def linked_sets(docs: DataFrame, own: DataFrame, scratch: Scratch, width: int =
     listed = scratch.keep(listed.drop("salt"), "listed")
     is_short = ~F.col("hot") & (F.col("df") <= SHORT)
     short, long = listed.where(is_short), listed.where(~is_short).select("key", "light", "fp", "n", "room", F.col("fp").alias("root"))
-    left = short.select("key", "light", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("room").alias("ra"))
-    right = short.select("key", "light", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("room").alias("rb"))
-    met = left.join(right, ["key", "light"]).where(f"a < b and {_SIZES} and (light or greatest(na, nb) > {x})")
-    shared = met.groupBy("a", "b", "na", "nb", "light").agg(F.count("*").alias("c"), F.max(F.expr(_ROOM)).alias("room")).where("room")
-    # of light sets the shared subsets are counted: c = m (m - 1) / 2
-    m = F.when(F.col("light") & (F.greatest("na", "nb") > 1), (1 + F.sqrt(1 + 8 * F.col("c"))) / 2).otherwise(F.col("c"))
-    k = F.when(F.col("light"), 2).otherwise(1)
-    rest = F.expr("(4 * greatest(na, nb) + 4) div 5") - k
-    enough = m + F.greatest(rest, F.lit(0)) + 1e-6 >= F.expr("(4 * (na + nb) + 8) div 9")
-    near = shared.where(enough).select("a", "b", "na", "nb")
+    # two light sets meet on subsets, so their shingles' lists need not bring them together as well
+    short = short.withColumn("root", F.col("fp"))
+    near = _met(short, short, f"f < h and (light or greatest(na, nb) > {x})")
     hubs = scratch.keep(_hubs(long, HUBS, 0), "hubs-0")
     pairs = scratch.keep(_possible(near.unionByName(_met(long, hubs)).distinct(), own), "pairs-0")
     # each set meets its least partner first; then only pairs across components are left, fewer by far
