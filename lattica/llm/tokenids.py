@@ -6,9 +6,10 @@ within the shard) and `docs` (64-bit document ids). A manifest row a shard holds
 give each one's base, so a document's place in the whole corpus is base + offset. A shard is written under a name of its
 own attempt and renamed when it is complete: a repeated or speculative task leaves one whole shard.
 
-Encoding goes word by word through the library, with the results kept: its pre-tokenizer cuts at every single blank
-between two non-blanks, so the words' ids, end to end, are the text's. Texts with other blanks, or with the opening of a
-special token, go through the library whole.
+Encoding goes word by word through the library, with the results kept: its pre-tokenizer cuts at every single blank or
+line end between two words, and at both of two line ends, so the ids of the words, each with the blank or line end before
+it, are the text's, end to end. Texts with other white space, or with the opening of a special token, go through the
+library whole.
 
 Defined cases: null text counts as empty and gives the end id alone; a null id sorts first; rows that repeat are documents
 of their own; an empty table gives no shard and an empty result; extra columns play no part.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
-_CACHE = 300_000
+_CACHE = 600_000
+#: White space that a text cut into words must not hold, alone or as a run.
+_OTHER = ("<|", "  ", " \n", "\n ", "\n\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
 
 class Encoder:
@@ -41,18 +45,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.first, self.later = {}, {}
-        # tokens that begin with a blank
-        self.leads = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-
-    def _together(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a blank before each, encoded as one text: no token holds a blank but in front."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        at = np.flatnonzero(self.leads[ids])
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        # tokens that begin with a blank, and with a line end
+        self.leads = {}
+        for lead, mark in ((" ", "\u0120"), ("\n", "\u010a")):
+            self.leads[lead] = np.zeros(size, dtype=bool)
+            self.leads[lead][[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(mark)]] = True
+        self.seen: dict[str, bytes] = {}
+
+    def _together(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words with a blank or line end before each, encoded as one text: no token holds one but in front."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        at = np.flatnonzero(self.leads[lead][ids])
         if len(at) != len(words) or at[0]:
-            return self._whole([" " + w for w in words])
+            return self._whole(words)
         data, w = ids.tobytes(), self.dtype.itemsize
         ends = [*(at[1:] * w).tolist(), len(data)]
         return [data[a:b] for a, b in zip((at * w).tolist(), ends)]
@@ -61,21 +68,29 @@ class Encoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.first) + len(self.later) > _CACHE:
-            self.first, self.later = {}, {}
-        cut = []
+        if len(self.seen) > _CACHE:
+            self.seen = {}
+        seen, cut = self.seen, []
         for t in texts:
-            words = (t or "").split(" ")
-            whole = "" in words or "<|" in (t or "") or any(w[0].isspace() or w[-1].isspace() for w in words)
-            cut.append(None if whole else words)
-        first, later = self.first, self.later
-        new = list({w[0] for w in cut if w and w[0] not in first})
-        first.update(zip(new, self._whole(new)))
-        new = list({x for w in cut if w for x in w[1:] if x not in later})
-        for k in range(0, len(new), 4096):
-            later.update(zip(new[k : k + 4096], self._together(new[k : k + 4096])))
+            whole = not t or t[0] in " \n" or t[-1] in " \n" or any(map(t.__contains__, _OTHER))
+            # each word but those after a line end lacks its blank
+            cut.append(None if whole else ("\n" + t).replace("\n", " \n").split(" ")[1:])
+        new = list({x for w in cut if w for x in w if x not in seen})
+        lines = [x for x in new if x[0] == "\n" and len(x) > 1]
+        for lead, some, whole in (("\n", lines, lines), (" ", *(lambda v: (v, [" " + x for x in v]))([x for x in new if x[0] != "\n"]))):
+            for k in range(0, len(some), 4096):
+                seen.update(zip(some[k : k + 4096], self._together(whole[k : k + 4096], lead)))
+        if "\n" in new:
+            seen["\n"] = self._whole(["\n"])[0]
         rest = iter(self._whole([t or "" for t, w in zip(texts, cut) if w is None]))
-        return [next(rest) if w is None else first[w[0]] + b"".join(map(later.__getitem__, w[1:])) for w in cut]
+        # the line end put before the text is one id
+        return [next(rest) if w is None else b"".join(map(seen.__getitem__, w))[self.dtype.itemsize :] for w in cut]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The Encoder of a worker process, which keeps its words from task to task."""
+    return Encoder(path)
 
 
 def _opened(root: str):
@@ -94,7 +109,7 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = 0, shards: i
     dealt = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
 
     def store(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         files, base = _opened(root)
         files.create_dir(base, recursive=True)
