@@ -1,8 +1,8 @@
 """License scans: ordered signature rules behind keyword gates, overlaps resolved by priority and interval containment.
 
-A text becomes lower-case words (A-Z only are folded) joined by single blanks. Texts without an anchor word stop there.
-For the others, the rules whose keyword the words hold run as regular expressions over the words; each match is an
-interval of words. A detection whose interval lies within that of a rule of higher priority is suppressed (of equal
+A text becomes lower-case words (A-Z only are folded) joined by single blanks. A rule runs as a regular expression over
+the words if they hold one of its literals, which are derived from its pattern: every match holds one, so no match is
+lost. Each match is an interval of words. A detection whose interval lies within that of a rule of higher priority is suppressed (of equal
 intervals and priorities, the rule that stands first stays). All of it is one projection of built-in functions: no
 shuffle, and nothing that depends on other rows.
 
@@ -13,6 +13,8 @@ an empty table gives an empty table; extra columns pass through untouched beside
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,9 @@ from .common import let, text_or_empty
 
 #: What a word consists of: digits, letters of either case, and everything past ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What the DuckDB twin asks of a text before any rule; the projection does not.
 ANCHORS = ("licen", "spdx", "copyright", "copyleft", "public domain", "gpl", "creative commons", "unlicense", "wtfpl")
 
 # The phrases of the base scan and their labels.
@@ -110,7 +114,49 @@ def rules() -> list[dict]:
     return [{"place": i, "name": n, "label": lab, "priority": p, "score": round(s, 2), "keyword": k, "pattern": f" {x}(?= )"} for i, (n, lab, p, s, k, x) in enumerate(out)]
 
 
-_SCHEMA = "array<struct<place:int,name:string,label:string,priority:int,score:double,keyword:string,pattern:string>>"
+def expanded(pattern: str) -> list[str]:
+    """All strings that a pattern of characters, (?:a|b), [ab] and ? matches."""
+
+    def read(i: int) -> tuple[list[str], int]:
+        done, now = [], [""]
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                done, now, i = done + now, [""], i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                some, i = read(i + 3)
+                i += 1
+            elif pattern[i] == "[":
+                end = pattern.index("]", i)
+                some, i = list(pattern[i + 1 : end]), end + 1
+            else:
+                some, i = [pattern[i]], i + 1
+            if pattern[i : i + 1] == "?":
+                some, i = [*some, ""], i + 1
+            now = [a + b for a in now for b in some]
+        return done + now, i
+
+    return read(0)[0]
+
+
+def literals(*patterns: str) -> list[str]:
+    """Runs of whole words, blanks around them, of which every match of the patterns holds one; none lies in another."""
+    every = {f" {x.strip()} " for p in patterns for x in expanded(p)}
+    return sorted(x for x in every if not any(y != x and y in x for y in every))
+
+
+def gated_rules() -> list[tuple[list[str], list[dict]]]:
+    """rules() in groups: literals of which each match in the group holds one, and the rules, each with literals of its own."""
+    by_names = {kind: [(names, len(versions) + 1) for _, _, names, versions in FAMILIES] for kind, *_ in TEMPLATES}
+    heads = {"tag": literals("spdx licen[sc]e identifier"), "grant": literals(_GRANT), "title": literals("licen[sc]e")}
+    left, out = iter(rules()), []
+    for kind, *_ in TEMPLATES:
+        out.append((heads[kind], [next(left) | {"literals": literals(names)} for names, n in by_names[kind] for _ in range(n)]))
+    others = [r | {"literals": literals(x)} for r, (*_, x) in zip(left, OTHERS, strict=True)]
+    return [*out, (literals(*[x for *_, x in OTHERS]), others)]
+
+
+_SCHEMA = "array<struct<place:int,name:string,label:string,priority:int,score:double,pattern:string,literals:array<string>>>"
 
 
 def _blanks(x: Column) -> Column:
@@ -129,42 +175,38 @@ def _places(joined: Column, pattern: Column) -> Column:
 
 def scanned(text: Column) -> Column:
     """A struct of a text: n_words, base (place intervals with labels), detections that survive, labels, score."""
-    table = F.from_json(F.lit(json.dumps(rules())), _SCHEMA)
-    low = F.lower(text)
-    gate = F.lit(False)
-    for anchor in ANCHORS:
-        gate = gate | F.contains(low, F.lit(anchor))
-    gate = gate | (F.contains(low, F.lit("cc")) & F.regexp_like(low, F.lit(r"cc[^0-9a-z]+(?:by|0)(?![0-9a-z])")))
-    joined = F.when(gate, F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"({WORD})")), " "), F.lit(" "))).otherwise(F.lit(""))
+    groups = [(heads, F.from_json(F.lit(json.dumps(own)), _SCHEMA)) for heads, own in gated_rules()]
+    joined = F.regexp_replace(F.concat(F.lit(" "), F.translate(text, UPPER, LOWER), F.lit(" ")), GAP, " ")
     none = "array<struct<start:int,end:int,label:string,place:int,priority:int,score:double,name:string>>"
 
     def result(j: Column) -> Column:
         item = lambda iv, r: F.struct(iv["start"].alias("start"), iv["end"].alias("end"), r["label"].alias("label"), r["place"].alias("place"), r["priority"].alias("priority"), r["score"].alias("score"), r["name"].alias("name"))
-        hits = F.flatten(F.transform(F.filter(table, lambda r: F.contains(j, r["keyword"])), lambda r: F.transform(_places(j, r["pattern"]), lambda iv: item(iv, r))))
+        of = lambda table: F.flatten(F.transform(F.filter(table, lambda r: F.exists(r["literals"], lambda x: F.contains(j, x))), lambda r: F.transform(_places(j, r["pattern"]), lambda iv: item(iv, r)))).cast(none)
+        held = lambda heads: reduce(or_, [F.contains(j, F.lit(x)) for x in heads])
+        hits = F.concat(*[F.when(held(heads), of(table)).otherwise(F.array().cast(none)) for heads, table in groups])
         beats = lambda e, d: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & ((e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & (((e["end"] - e["start"]) > (d["end"] - d["start"])) | (e["place"] < d["place"]))))
-        kept = let(F.array_sort(hits.cast(none)), lambda a: F.filter(a, lambda d: ~F.exists(a, lambda e: beats(e, d))))
+        kept = let(F.array_sort(hits), lambda a: F.filter(a, lambda d: ~F.exists(a, lambda e: beats(e, d))))
         labelled = lambda lab: lambda iv: F.struct(iv["start"].alias("start"), iv["end"].alias("end"), F.lit(lab).alias("label"))
         base = F.flatten(F.array(*[F.when(F.contains(j, F.lit(f" {p} ")), F.transform(_places(j, F.lit(f" {p}(?= )")), labelled(lab))).otherwise(F.array().cast("array<struct<start:int,end:int,label:string>>")) for p, lab in BASE]))
-        return F.when(j != "", F.struct(base.alias("base"), kept.alias("detections")))
+        return F.struct(base.alias("base"), kept.alias("detections"))
 
-    def summed(d: Column) -> Column:
+    def summed(j: Column, d: Column) -> Column:
         labels = lambda a: F.transform(a, lambda x: x["label"])
-        empty = F.array().cast("array<string>")
-        base, own = F.coalesce(labels(d["base"]), empty), F.coalesce(labels(d["detections"]), empty)
+        base, own = labels(d["base"]), labels(d["detections"])
         joined_labels = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
         starts = F.transform(d["base"], lambda x: x["start"])
         return F.struct(
-            F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
+            (_blanks(j) - 1).cast("long").alias("n_words"),
             F.size(base).cast("long").alias("n_base"),
             F.array_min(starts).cast("long").alias("first_word"),
             F.array_max(starts).cast("long").alias("last_word"),
             joined_labels(base).alias("base_labels"),
             joined_labels(F.concat(base, own)).alias("labels"),
             F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(d["detections"], lambda x: x["score"])), F.lit(0.0))).alias("score"),
-            F.coalesce(d["detections"], F.array().cast(none)).alias("detections"),
+            d["detections"].alias("detections"),
         )
 
-    return let(joined, lambda j: let(result(j), summed))
+    return let(joined, lambda j: let(result(j), lambda d: summed(j, d)))
 
 
 def scan(docs: DataFrame, text: str = "text", into: str = "licenses") -> DataFrame:
