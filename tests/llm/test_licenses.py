@@ -37,3 +37,15 @@ def test_labels_of_texts_without_anchor(spark):
     wanted = {"All rights reserved.": "proprietary", "Distributed under the BSD": "bsd", "released under Apache 2.0": "apache-2", "it is in the public\ndomain": "public-domain", "released under CC0 1.0": "cc0-1.0"}
     got = licenses.scan(spark.createDataFrame([(t,) for t in wanted], "text string")).select("text", "licenses.labels").collect()
     assert {g["text"]: g["labels"] for g in got} == wanted
+
+
+def test_every_match_holds_a_literal_of_its_rule():
+    for heads, rules in licenses.gated_rules():
+        for x in rules:
+            for m in licenses.expanded(x["pattern"].removesuffix("(?= )")):
+                assert any(h in f"{m} " for h in heads) and any(k in f"{m} " for k in x["literals"]), x["name"]
+
+
+def test_open_software_license_without_osl(spark):
+    got = licenses.scan(spark.createDataFrame([("Open Software License 3.0",)], "text string")).select("licenses.labels").first()
+    assert got["labels"] == "osl-3.0"
