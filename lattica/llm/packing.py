@@ -1,8 +1,9 @@
 """Packing: length buckets of least padding by dynamic programming over the global histogram, token-budget batches inside.
 
 A text's length is its number of words. The histogram of all lengths (partial aggregation, one row a distinct length) goes
-to the driver: lengths up to FINE are exact, above them they are rounded up to one of 1024 steps an octave, so it has at
-most FINE + 1024 log2(longest / FINE) rows, whatever the number of texts. Dynamic programming then chooses the bucket
+to the driver: lengths up to FINE are exact, above them those of one of 1024 steps an octave share a row with their exact
+longest and sum, so it has at most FINE + 1024 log2(longest / FINE) rows, whatever the number of texts. Bounds are real
+lengths and costs exact; only bounds inside such a step are not tried. Dynamic programming then chooses the bucket
 bounds that minimise the total padding: cost(i, j) = L_j (C_j - C_i) - (S_j - S_i) for counts C and sums S up to a length,
 a lower envelope of lines for each number of buckets, hence exact in time buckets * lengths.
 
@@ -40,15 +41,17 @@ def rounded(length: Column) -> Column:
     return F.when(length <= FINE, length).otherwise((F.ceil(length / step) * step).cast("long"))
 
 
-def bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
-    """Upper bounds of at most `buckets` buckets over distinct ascending lengths that make the total padding least."""
+def bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS, sums: list[int] | None = None) -> list[int]:
+    """Upper bounds of at most `buckets` buckets over distinct ascending lengths that make the total padding least.
+
+    A length may stand for shorter ones too; `sums` then has the sum of the lengths it stands for."""
     m = len(lengths)
     if m <= buckets:
         return list(lengths)
     c, s = [0], [0]
-    for x, n in zip(lengths, counts):
+    for x, n, total in zip(lengths, counts, sums or [x * n for x, n in zip(lengths, counts)]):
         c.append(c[-1] + n)
-        s.append(s[-1] + n * x)
+        s.append(s[-1] + total)
     best = [0] + [None] * m
     back = []
     for k in range(1, buckets + 1):
@@ -79,10 +82,10 @@ def bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> lis
 
 def bucket_bounds(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Bounds for a column n_words of positive lengths."""
-    table = lengths.where("n_words > 0").groupBy(rounded(F.col("n_words")).alias("n")).agg(F.count("*").alias("c")).toArrow()
-    n, c = table["n"].to_numpy(), table["c"].to_numpy()
+    table = lengths.where("n_words > 0").groupBy(rounded(F.col("n_words")).alias("cell")).agg(F.max("n_words").alias("n"), F.count("*").alias("c"), F.sum("n_words").alias("s")).toArrow()
+    n, c, s = (table[k].to_numpy() for k in ("n", "c", "s"))
     by = np.argsort(n)
-    return bounds(n[by].tolist(), c[by].tolist(), buckets)
+    return bounds(n[by].tolist(), c[by].tolist(), buckets, s[by].tolist())
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_column: str = "doc_id") -> DataFrame:
