@@ -5,8 +5,8 @@ entity as far as its pointwise mutual information with that kind, over the whole
 information. With p(k) the share of word places that lie beside an entity of kind k and p(k | t) that share among the
 places of term t, the disclosure is PMI(t; k) / -log2 p(k) = 1 - log2 p(k | t) / log2 p(k): 0 for a term that says
 nothing, 1 for one that never stands elsewhere. Terms at `remove_at` or more are removed, those at `generalise_at` or
-more give way to the kind's name; base spans are always replaced. Support counts distinct entities (their hashes), so
-copies of one text add nothing to it.
+more give way to the kind's name; base spans are always replaced. Support counts the distinct
+entities (their hashes) within reach of a term's places, so copies of one text add nothing to it.
 
 Plan: one pass counts words and contexts (partial aggregation before a shuffle on the word, so a frequent word is one row
 a task); a second marks the places of disclosing terms. Only texts that hold such a term, found by a join on their
@@ -127,24 +127,29 @@ def with_base(docs: DataFrame, text: str) -> DataFrame:
 def disclosing_terms(based: DataFrame, at: Thresholds, scratch: Scratch) -> DataFrame:
     """(term, kind, disclosure) of terms at or above `generalise_at`, from all texts of with_base()."""
     mark = F.lit("\u0000")
-    # a word character of its own kind stands for each entity, so that words and entities keep their order
-    flat = lambda t, b: let(_covered(b), lambda s: _replaced(t, s, lambda k: F.concat(mark, F.array_position(F.array(*map(F.lit, KINDS)), k).cast("string"), mark)))
+    # a mark of its kind and hash stands for each entity, so that words and entities keep their order
     entity = lambda b: F.xxhash64(F.substring("__text", b["start"] + 1, b["end"] - b["start"]))
-    word = lambda x, kinds: F.struct(x.alias("term"), kinds.alias("kinds"))
-    no_kinds = F.lit(None).cast("array<int>")
+    marked = lambda b: F.concat(mark, F.array_position(F.array(*map(F.lit, KINDS)), b["kind"]).cast("string"), entity(b).cast("string"), mark)
+    flat = lambda t, b: let(F.transform(_covered(b), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), marked(s).alias("kind"))), lambda s: _replaced(t, s, lambda k: k))
+    word = lambda x, near: F.struct(x.alias("term"), near.alias("near"))
+    nothing = F.lit(None).cast("array<string>")
 
     def beside(tokens: Column) -> Column:
-        """Each word with the kinds of the entities within reach."""
+        """Each word with the marks of the entities within reach."""
         around = lambda i: F.slice(tokens, F.greatest(i + 1 - at.reach, F.lit(1)), F.lit(2 * at.reach + 1) - F.greatest(at.reach - i, F.lit(0)))
-        kinds = lambda i: let(F.filter(around(i), lambda x: F.contains(x, mark)), lambda a: F.when(F.size(a) > 0, F.transform(F.array_distinct(a), lambda x: F.substring(x, 2, 1).cast("int"))))
-        return F.filter(F.transform(tokens, lambda x, i: word(x, kinds(i))), lambda w: ~F.contains(w["term"], mark))
+        marks = lambda i: let(F.filter(around(i), lambda x: F.contains(x, mark)), lambda a: F.when(F.size(a) > 0, F.array_distinct(a)))
+        return F.filter(F.transform(tokens, lambda x, i: word(x, marks(i))), lambda w: ~F.contains(w["term"], mark))
 
     low, has = F.lower("__text"), F.size("__base") > 0
-    near = let(F.regexp_extract_all(flat(low, F.col("__base")), F.lit(rf"(\x00[1-4]\x00|{TERM})")), beside)
-    plain = F.transform(F.regexp_extract_all(low, F.lit(f"({TERM})")), lambda x: word(x, no_kinds))
-    words = based.select(F.when(has, F.xxhash64(F.transform("__base", entity))).alias("entity"), F.explode(F.when(has, near).otherwise(plain)).alias("w")).select("w.term", "w.kinds", F.when(F.col("w.kinds").isNotNull(), F.col("entity")).alias("entity"))
-    flags = [F.sum(F.when(F.array_contains("kinds", i + 1), 1).otherwise(0)).alias(f"n{i}") for i in range(len(KINDS))]
-    total = words.groupBy("term").agg(F.count("*").alias("n"), *flags, F.count_distinct("entity").alias("support"))
+    near = let(F.regexp_extract_all(flat(low, F.col("__base")), F.lit(rf"(\x00[1-4]-?[0-9]+\x00|{TERM})")), beside)
+    plain = F.transform(F.regexp_extract_all(low, F.lit(f"({TERM})")), lambda x: word(x, nothing))
+    places = based.select(F.explode(F.when(has, near).otherwise(plain)).alias("w")).select("w.*")
+    kinds = F.transform("near", lambda x: F.substring(x, 2, 1).cast("int"))
+    # one row for each entity beside a word; the first one, or that of a word beside none, counts the word's place
+    words = places.select("term", kinds.alias("kinds"), F.posexplode_outer(F.transform("near", lambda x: F.substr(x, F.lit(3), F.length(x) - 3).cast("long"))).alias("at", "entity"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    flags = [F.sum(F.when(first & F.array_contains("kinds", i + 1), 1).otherwise(0)).alias(f"n{i}") for i in range(len(KINDS))]
+    total = words.groupBy("term").agg(F.sum(F.when(first, 1).otherwise(0)).alias("n"), *flags, F.count_distinct("entity").alias("support"))
     # terms of too little support become one row, so that one small table holds the terms in question and the sums of all
     sums = [F.sum(c).alias(c) for c in ("n", *(f"n{i}" for i in range(len(KINDS))))]
     few = scratch.keep(total.groupBy(F.when(F.col("support") >= at.support, F.col("term")).alias("term")).agg(*sums), "counts")
