@@ -27,7 +27,7 @@ def rpad(s: Column, n: int, pad: str = " ") -> Column:
 
 
 def trim(s: Column) -> Column:
-    return F.regexp_replace(s, r"^\s+|\s+\z", "")
+    return F.regexp_replace(s, r"^\s++|(?<!\s)\s++\z", "")
 
 
 def substring(s: Column, start: int, length: int | None = None) -> Column:
