@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not conf.get("spark.master", "local").startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -27,20 +27,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage: a lost executor costs no recomputation behind them."""
+    """Tables written to the shared folder to cut lineage: a lost executor costs no recomputation behind them.
+
+    Superseded tables are dropped as the work goes on; what a lazy result still reads goes when the session's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+
+    def _at(self, where: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        if not self.names:
+            root, files = self._at(self.root)
+            files.deleteOnExit(root)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path, files = self._at(f"{self.root}/{name}")
+            files.delete(path, True)
+            self.names.remove(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[x for x in self.names if x not in names])
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
@@ -64,6 +79,52 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, join) -> Column:
+    """Prefix results of an array under an associative join(earlier, later), by doubling: n log n steps for n values."""
+
+    def level(a: Column, width: Column) -> Column:
+        return F.when(F.size(a) > width, F.transform(a, lambda v, i: F.when(i >= width, join(F.get(a, i - width), v)).otherwise(v))).otherwise(a)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30)]), values, level)
+
+
+def counts_before(points: Column, queries: Column) -> Column:
+    """For each of the queries, an array of integers, how many points are less: both are sorted and walked together."""
+    event = lambda at, kind, i: F.struct(at.alias("at"), F.lit(kind).alias("kind"), i.alias("i"))
+    every = F.array_sort(F.concat(F.transform(points, lambda p: event(p, 1, F.lit(-1))), F.transform(queries, lambda q, i: event(q, 0, i))))
+
+    def told(events: Column) -> Column:
+        before = running(F.transform(events, lambda e: e["kind"]), lambda x, y: x + y)
+        own = let(before, lambda n: F.filter(F.transform(events, lambda e, k: F.struct(e["i"].alias("i"), F.get(n, k).alias("n"))), lambda x: x["i"] >= 0))
+        return F.transform(F.array_sort(own), lambda x: x["n"])
+
+    return let(every, told)
+
+
+def blocks(text: Column, width: int = 1024) -> Column:
+    """A text cut into blocks of code points, in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), 0)
+
+
+def cut(parts: Column, start: Column, end: Column, width: int = 1024) -> Column:
+    """Code points start to end (exclusive) of a text in blocks(): only the blocks in question are walked."""
+    first, last = F.floor(start / width).cast("int"), F.floor((end - 1) / width).cast("int")
+    piece = lambda b: F.substring(F.get(parts, b), F.greatest(start - b * width, F.lit(0)) + 1, F.least(end - b * width, F.lit(width)) - F.greatest(start - b * width, F.lit(0)))
+    return F.when(end > start, F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), piece), "")).otherwise(F.lit(""))
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that clash with none of the columns, whatever their case."""
+    held = {c.lower() for c in columns}
+    out = []
+    for w in wanted:
+        while w.lower() in held:
+            w += "_"
+        held.add(w.lower())
+        out.append(w)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of uint64 (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
@@ -121,6 +182,30 @@ def in_bloom(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return found
 
 
+#: Rows of one key from which on a join deals the key to several tasks, and the most keys that are dealt so.
+SHARE, DEALT_KEYS = 2_000, 20_000
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right, in which key is unique: a key of many rows in left goes to several tasks.
+
+    The rows of such a key are dealt by a hash of the column `by`, and right's row of it is repeated for every share. The
+    list of such keys has at most DEALT_KEYS rows, for the least number of rows that makes a key one grows with left. Keys
+    are counted in `counts`, a written table with left's keys, or in left itself.
+    """
+    counts = left if counts is None else counts
+    most = max(SHARE, counts.count() // DEALT_KEYS)
+    big = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__c")).where(F.col("__c") > most)
+    big = big.select(F.col(key), F.ceil(F.col("__c") / most).cast("int").alias("__shares")).collect()  # at most DEALT_KEYS rows
+    if not big:
+        return left.join(right, key, how)
+    shares = F.broadcast(left.sparkSession.createDataFrame(big, left.select(key).schema.add("__shares", "integer")))
+    share = F.when(F.col("__shares").isNotNull(), F.pmod(F.xxhash64(by), F.col("__shares"))).otherwise(0).cast("int")
+    dealt = left.join(shares, key, "left").withColumn("__share", share).drop("__shares")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))
+    return dealt.join(right.join(shares, key, "left").withColumn("__share", every).drop("__shares"), [key, "__share"], how).drop("__share")
+
+
 #: Edges that one task may unite.
 SMALL_EDGES = 15_000
 
@@ -148,32 +233,34 @@ def merged(scratch: Scratch, roots: DataFrame, links: DataFrame, name: str) -> D
     side = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
     across = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     more = components(scratch, across, name)
-    moved = roots.join(more.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    moved = dealt_join(roots, more.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "id", "left").select("id", F.coalesce("to", "root").alias("root"))
     return scratch.keep(moved.unionByName(more.join(roots, "id", "left_anti")), f"{name}-merged")
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b): one row (id, root) per id in an edge, root the smallest id of its component.
 
-    Alternating large-star and small-star steps; every step is an aggregation and a join on the node, so a node of huge
-    degree is combined before the shuffle and its join split. Each round's edges are a table in the shared folder.
-    Up to SMALL_EDGES edges are united by one task instead.
+    Alternating large-star and small-star steps; every step is an aggregation, combined before the shuffle, and a join on
+    the node that deals a node of huge degree to several tasks. Each round's edges are a table in the shared folder. Up to
+    SMALL_EDGES edges are united by one task instead.
     """
     now = scratch.keep(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     if now.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES:
-        return scratch.keep(now.coalesce(1).mapInArrow(_united, "id long, root long"), f"{name}-all")
+        all_of_it = scratch.keep(now.coalesce(1).mapInArrow(_united, "id long, root long"), f"{name}-all")
+        scratch.drop(f"{name}-0")
+        return all_of_it
     before, step = None, 0
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a != b").distinct()
+        large = dealt_join(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = scratch.keep(large.where("a != b").distinct(), f"{name}-down-{step}")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a")
+        small = dealt_join(down, least, "a", "b")
         after = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         after = scratch.keep(after.where("a != b").distinct(), f"{name}-{step + 1}")
         state = tuple(after.agg(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0)")).first())
-        scratch.drop(f"{name}-{step}")
+        scratch.drop(f"{name}-{step}", f"{name}-down-{step}")
         now, step = after, step + 1
         if state == before:
             break

@@ -33,6 +33,27 @@ def test_scan_against_ungated_rules(spark):
     assert {g["doc_id"]: (g["n_words"], g["n_base"], g["labels"], g["score"]) for g in got} == {i: scanned(t, rules) for i, t in enumerate(texts)}
 
 
+def test_sql_twin_on_texts_of_each_rule(spark):
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(6)
+    own = [r.choice(licenses.expanded(x["pattern"].removesuffix("(?= )"))).title() for x in licenses.rules()]
+    texts = TEXTS + own + [" ".join(r.sample(own, 3)) for _ in range(60)] + ["mit license mit license under the MIT license"]
+    rows = list(enumerate(texts))
+    columns = ("doc_id", "n_words", "n_base", "labels", "score")
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "licenses.*").select(*columns).collect()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert sorted(tuple(g) for g in got) == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({licenses.SQL})").fetchall())
+
+
+def test_long_text_of_licenses(spark):
+    text = "the MIT license, apache license version 2; GPL 3 or later. " * 20_000
+    got = licenses.scan(spark.createDataFrame([(text,)], "text string")).select("licenses.*").first()
+    assert (got["n_base"], got["labels"]) == (20_000, "apache-2,mit") and len(got["detections"]) == 40_000
+
+
 def test_labels_of_texts_without_anchor(spark):
     wanted = {"All rights reserved.": "proprietary", "Distributed under the BSD": "bsd", "released under Apache 2.0": "apache-2", "it is in the public\ndomain": "public-domain", "released under CC0 1.0": "cc0-1.0"}
     got = licenses.scan(spark.createDataFrame([(t,) for t in wanted], "text string")).select("text", "licenses.labels").collect()
