@@ -12,6 +12,9 @@ Plan: one pass counts words and contexts (partial aggregation before a shuffle o
 a task); a second marks the places of disclosing terms. Only texts that hold such a term, found by a join on their
 distinct words, are cut into places.
 
+A text's matches, spans and pieces are placed by prefix sums and prefix maxima, so the work grows as n log n with a text
+of n matches, whatever its length.
+
 Defined cases: null or empty text has no span and stays as it is; rows that repeat are counted as often as they stand and
 get equal results; an empty corpus discloses nothing; extra columns pass through untouched.
 """
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, text_or_empty
+from .common import Scratch, blocks, cut, fresh, let, running, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -82,13 +85,12 @@ _SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """Matches with their code point places: a prefix sum over the lengths of the gaps between them."""
+    """Matches with their code point places: a prefix sum over the lengths of the gaps between them and of their own."""
 
     def places(gaps: Column, hits: Column) -> Column:
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-        starts = F.aggregate(steps, first, lambda a, s: F.struct((a["at"] + s["g"] + s["h"]).alias("at"), F.concat(a["out"], F.array(a["at"] + s["g"])).alias("out")), lambda a: a["out"])
-        return F.zip_with(starts, hits, lambda s, h: F.struct(s.alias("start"), (s + F.length(h)).alias("end"), h.alias("text")))
+        steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
+        ends = running(steps, lambda x, y: x + y)
+        return F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("text")))
 
     p = F.lit(pattern)
     return let(F.split(text, p), lambda g: let(F.regexp_extract_all(text, p, 0), lambda h: places(g, h)))
@@ -103,34 +105,59 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def _covered(spans: Column) -> Column:
     """Spans sorted and merged where they overlap; the first one's kind stays."""
-    step = lambda a, s: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["end"] > s["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["start"].alias("start"), F.greatest(F.get(a, F.size(a) - 1)["end"], s["end"]).alias("end"), F.get(a, F.size(a) - 1)["kind"].alias("kind"))))).otherwise(F.concat(a, F.array(s)))
-    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), step)
+
+    def groups(sorted_spans: Column, reached: Column) -> Column:
+        """reached: the furthest end so far. A span that begins at or behind it begins a group, which ends where the next one begins."""
+        item = lambda s, i: F.struct(i.alias("i"), s["start"].alias("start"), s["kind"].alias("kind"))
+        heads = F.filter(F.transform(sorted_spans, item), lambda s: (s["i"] == 0) | (F.get(reached, s["i"] - 1) <= s["start"]))
+        last = lambda h, j: F.coalesce(F.get(h, j + 1)["i"], F.size(reached)) - 1
+        return let(heads, lambda h: F.transform(h, lambda s, j: F.struct(s["start"].alias("start"), F.get(reached, last(h, j)).alias("end"), s["kind"].alias("kind"))))
+
+    ends = lambda a: running(F.transform(a, lambda s: s["end"]), F.greatest)
+    return F.when(F.size(spans) < 2, spans).otherwise(let(F.array_sort(spans), lambda a: let(ends(a), lambda m: groups(a, m)))).cast(_SPANS)
 
 
 def _replaced(text: Column, spans: Column, name) -> Column:
-    """text with each of the sorted, disjoint spans replaced by name(kind)."""
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), name(s["kind"])).alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+    """text with each of the sorted, disjoint spans replaced by name(kind, its text)."""
+
+    def pieces(parts: Column, own: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(own, i - 1)["end"], F.lit(0))
+        each = F.transform(own, lambda s, i: F.concat(cut(parts, before(i), s["start"]), name(s["kind"], cut(parts, s["start"], s["end"]))))
+        return F.concat(F.array_join(each, ""), cut(parts, F.get(own, F.size(own) - 1)["end"], F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(blocks(text), lambda p: let(spans, lambda own: pieces(p, own))))
+
+
+def _outside(spans: Column, taken: Column) -> Column:
+    """The spans that overlap none of `taken`: both are walked in the order of their places."""
+
+    def told(events: Column) -> Column:
+        # a span comes at its end, before what begins there; the furthest end of all taken before must not reach into it
+        reach = running(F.transform(events, lambda e: F.when(e["taken"], e["far"]).otherwise(F.lit(-1))), F.greatest)
+        return let(reach, lambda m: F.filter(F.transform(events, lambda e, i: F.struct(e["at"].alias("end"), e["far"].alias("start"), (~e["taken"] & (F.get(m, i) <= e["far"])).alias("free"), e["kind"].alias("kind"))), lambda x: x["free"]))
+
+    event = lambda at, far, is_taken, kind: F.struct(at.alias("at"), F.lit(is_taken).alias("taken"), far.alias("far"), kind.alias("kind"))
+    every = F.concat(F.transform(spans, lambda s: event(s["end"], s["start"], False, s["kind"])), F.transform(taken, lambda s: event(s["start"], s["end"], True, s["kind"])))
+    free = lambda e: F.transform(told(e), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    return F.when((F.size(spans) == 0) | (F.size(taken) == 0), spans).otherwise(let(F.array_sort(every), free)).cast(_SPANS)
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def with_base(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __text (null: empty) and __base, the base spans of all kinds in the order of KINDS."""
-    t = text_or_empty(F.col(f"`{text}`"))
-    return docs.withColumn("__text", t).withColumn("__base", F.flatten(F.array(*[base_spans(t, k) for k in KINDS])))
+def _base(text: Column) -> Column:
+    """The base spans of all kinds in the order of KINDS."""
+    return F.flatten(F.array(*[base_spans(text, k) for k in KINDS]))
 
 
-def disclosing_terms(based: DataFrame, at: Thresholds, scratch: Scratch) -> DataFrame:
-    """(term, kind, disclosure) of terms at or above `generalise_at`, from all texts of with_base()."""
+def disclosing_terms(texts: DataFrame, at: Thresholds, scratch: Scratch) -> DataFrame:
+    """(term, kind, disclosure) of terms at or above `generalise_at`, from all rows (text, base) of texts."""
     mark = F.lit("\u0000")
     # a mark of its kind and hash stands for each entity, so that words and entities keep their order
-    entity = lambda b: F.xxhash64(F.substring("__text", b["start"] + 1, b["end"] - b["start"]))
-    marked = lambda b: F.concat(mark, F.array_position(F.array(*map(F.lit, KINDS)), b["kind"]).cast("string"), entity(b).cast("string"), mark)
-    flat = lambda t, b: let(F.transform(_covered(b), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), marked(s).alias("kind"))), lambda s: _replaced(t, s, lambda k: k))
+    number = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("string")
+    marked = lambda kind, entity: F.concat(mark, number(kind), F.xxhash64(entity).cast("string"), mark)
+    flat = lambda t, b: _replaced(t, _covered(b), marked)
     word = lambda x, near: F.struct(x.alias("term"), near.alias("near"))
     nothing = F.lit(None).cast("array<string>")
 
@@ -140,10 +167,10 @@ def disclosing_terms(based: DataFrame, at: Thresholds, scratch: Scratch) -> Data
         marks = lambda i: let(F.filter(around(i), lambda x: F.contains(x, mark)), lambda a: F.when(F.size(a) > 0, F.array_distinct(a)))
         return F.filter(F.transform(tokens, lambda x, i: word(x, marks(i))), lambda w: ~F.contains(w["term"], mark))
 
-    low, has = F.lower("__text"), F.size("__base") > 0
-    near = let(F.regexp_extract_all(flat(low, F.col("__base")), F.lit(rf"(\x00[1-4]-?[0-9]+\x00|{TERM})")), beside)
+    low, has = F.lower("text"), F.size("base") > 0
+    near = let(F.regexp_extract_all(flat(low, F.col("base")), F.lit(rf"(\x00[1-4]-?[0-9]+\x00|{TERM})")), beside)
     plain = F.transform(F.regexp_extract_all(low, F.lit(f"({TERM})")), lambda x: word(x, nothing))
-    places = based.select(F.explode(F.when(has, near).otherwise(plain)).alias("w")).select("w.*")
+    places = texts.select(F.explode(F.when(has, near).otherwise(plain)).alias("w")).select("w.*")
     kinds = F.transform("near", lambda x: F.substring(x, 2, 1).cast("int"))
     # one row for each entity beside a word; the first one, or that of a word beside none, counts the word's place
     words = places.select("term", kinds.alias("kinds"), F.posexplode_outer(F.transform("near", lambda x: F.substr(x, F.lit(3), F.length(x) - 3).cast("long"))).alias("at", "entity"))
@@ -162,39 +189,43 @@ def disclosing_terms(based: DataFrame, at: Thresholds, scratch: Scratch) -> Data
 
 def sanitise(docs: DataFrame, text: str = "text", into: str = "pii", at: Thresholds = Thresholds()) -> DataFrame:
     """docs with a struct column `into`: base and terms (spans: start, end, kind), and the sanitised text."""
-    based = with_base(docs, text)
+    whole, base, hits, found, k1, k2 = fresh([*docs.columns, into], "whole", "base", "hits", "found", "k1", "k2")
+    t = text_or_empty(F.col(f"`{text}`"))
     scratch = Scratch(docs.sparkSession, "pii")
-    terms = scratch.keep(disclosing_terms(based, at, scratch), "terms")
+    terms = scratch.keep(disclosing_terms(docs.select(t.alias("text"), _base(t).alias("base")), at, scratch), "terms")
+    scratch.drop("counts")
     kind = "array<struct<term:string,kind:string,disclosure:double>>"
     some = terms.orderBy("term").limit(at.inline_terms + 1).collect()
-    lower_words = F.regexp_extract_all(F.lower("__text"), F.lit(f"({TERM})"))
+    based = docs.withColumn(whole, t).withColumn(base, _base(F.col(whole)))
+    lower_words = F.regexp_extract_all(F.lower(whole), F.lit(f"({TERM})"))
     if len(some) <= at.inline_terms:
         # few terms are part of the plan, and no text is moved
         every = F.from_json(F.lit(json.dumps([r.asDict() for r in some])), kind)
         held = let(F.array_intersect(lower_words, F.transform(every, lambda t: t["term"])), lambda own: F.when(F.size(own) > 0, F.filter(every, lambda t: F.array_contains(own, t["term"]))))
-        based = based.withColumn("__hits", held if some else F.lit(None).cast(kind))
+        based = based.withColumn(hits, held if some else F.lit(None).cast(kind))
     else:
-        key = {"k1": F.xxhash64("__text"), "k2": F.length("__text")}
+        key = {k1: F.xxhash64(whole), k2: F.length(whole)}
         words = based.select(*[c.alias(n) for n, c in key.items()], F.explode(F.array_distinct(lower_words)).alias("term"))
         small = lambda df: F.broadcast(df) if df.limit(at.broadcast_rows + 1).count() <= at.broadcast_rows else df
-        hits = scratch.keep(words.join(small(terms), "term").groupBy("k1", "k2").agg(F.collect_set(F.struct("term", "kind", "disclosure")).alias("__hits")), "hits")
-        based = based.withColumns(key).join(small(hits), ["k1", "k2"], "left").drop("k1", "k2")
+        each = scratch.keep(words.join(small(terms), "term").groupBy(k1, k2).agg(F.collect_set(F.struct("term", "kind", "disclosure")).alias(hits)), "hits")
+        based = based.withColumns(key).join(small(each), [k1, k2], "left").drop(k1, k2)
 
-    def own(hits: Column) -> Column:
-        by = F.map_from_entries(F.transform(hits, lambda h: F.struct(h["term"], F.struct(h["kind"], h["disclosure"]))))
-        spans = let(by, lambda m: F.transform(_located(F.col("__text"), TERM), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.try_element_at(m, F.lower(s["text"])).alias("h"))))
-        free = F.filter(spans, lambda s: s["h"].isNotNull() & ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.when(s["h"]["disclosure"] >= at.remove_at, "drop-").otherwise("term-"), s["h"]["kind"]).alias("kind")))
+    def own(own_hits: Column) -> Column:
+        by = F.map_from_entries(F.transform(own_hits, lambda h: F.struct(h["term"], F.struct(h["kind"], h["disclosure"]))))
+        spans = let(by, lambda m: F.transform(_located(F.col(whole), TERM), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.try_element_at(m, F.lower(s["text"])).alias("h"))))
+        named = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.when(s["h"]["disclosure"] >= at.remove_at, "drop-").otherwise("term-"), s["h"]["kind"]).alias("kind"))
+        return _outside(F.transform(F.filter(spans, lambda s: s["h"].isNotNull()), named).cast(_SPANS), F.col(base))
 
-    with_terms = based.withColumn("__terms", F.when(F.col("__hits").isNotNull(), own(F.col("__hits")).cast(_SPANS)).otherwise(F.array().cast(_SPANS)))
-    name = lambda k: F.when(k.startswith("drop-"), "").when(k.startswith("term-"), F.concat(F.lit("["), F.upper(F.substring(k, 6, 20)), F.lit(" TERM]"))).otherwise(F.concat(F.lit("["), F.upper(k), F.lit("]")))
-    clean = F.when((F.size("__base") == 0) & (F.size("__terms") == 0), F.col(f"`{text}`")).otherwise(let(_covered(F.concat("__base", "__terms")), lambda s: _replaced(F.col("__text"), s, name)))
-    return with_terms.withColumn(into, F.struct(F.col("__base").alias("base"), F.col("__terms").alias("terms"), clean.alias("text"))).drop("__text", "__base", "__terms", "__hits")
+    with_terms = based.withColumn(found, F.when(F.col(hits).isNotNull(), own(F.col(hits))).otherwise(F.array().cast(_SPANS)))
+    name = lambda k, _: F.when(k.startswith("drop-"), "").when(k.startswith("term-"), F.concat(F.lit("["), F.upper(F.substring(k, 6, 20)), F.lit(" TERM]"))).otherwise(F.concat(F.lit("["), F.upper(k), F.lit("]")))
+    clean = F.when((F.size(base) == 0) & (F.size(found) == 0), F.col(f"`{text}`")).otherwise(_replaced(F.col(whole), _covered(F.concat(base, found)), name))
+    return with_terms.withColumn(into, F.struct(F.col(base).alias("base"), F.col(found).alias("terms"), clean.alias("text"))).drop(whole, base, found, hits)
 
 
 def sanitised(docs: DataFrame, text: str = "text", at: Thresholds = Thresholds()) -> DataFrame:
     """docs with the text column sanitised; every row stays."""
-    return sanitise(docs, text, "__pii", at).withColumn(text, F.col("__pii.text")).drop("__pii")
+    own = fresh(docs.columns, "pii")[0]
+    return sanitise(docs, text, own, at).withColumn(text, F.col(f"{own}.text")).drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, text_or_empty
+from .common import WHITE, fresh, let, text_or_empty
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -68,7 +68,7 @@ def measures(text: Column) -> Column:
         )
 
     chars = F.length(F.regexp_replace(text, f"[{WHITE}]+", ""))
-    trimmed = F.regexp_replace(text, rf"^[{WHITE}]+|[{WHITE}]+\z", "")
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(chars == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{WHITE}]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WHITE}]"))
     by_line = let(lines, lambda a: F.struct(F.size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).alias("dup"), F.size(F.filter(a, lambda x: F.contains(x, F.lit(" | ")))).alias("table")))
@@ -123,7 +123,8 @@ def judge(docs: DataFrame, text: str = "text", into: str = "quality", rules=RULE
 
 def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns."""
-    return judge(docs, text, "__quality", rules).where(F.col("__quality.kept")).drop("__quality")
+    own = fresh(docs.columns, "quality")[0]
+    return judge(docs, text, own, rules).where(F.col(f"{own}.kept")).drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
