@@ -133,6 +133,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def gram_cells(words: list[str], least: int, most: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the character grams of `least` to `most` letters of all words, marked by ^ and $, end to end; and where each word's begin."""
+    marked = [f"^{w}$" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, marked), dtype=np.int64, count=len(marked)))
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(points))  # characters from here to the word's end
+    found, there = np.empty((len(points), most - least + 1), np.int64), np.empty((len(points), most - least + 1), bool)
+    h = np.zeros(len(points), np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(most):
+            h[: len(h) - n] = h[: len(h) - n] * np.uint64(0x100000001B3) + points[n:]
+            if n >= least - 1:
+                found[:, n - least + 1], there[:, n - least + 1] = mix64(h + np.uint64(n)) % np.uint64(cells), left > n
+    so_far = np.cumsum(there.sum(1))
+    return found[there], np.concatenate([[0], so_far[ends - 1]]).astype(np.int64)
+
+
 #: Bits of the Bloom filter, at any input size: 4 MB. Past its capacity it passes more rows, never fewer.
 BLOOM_BITS = 1 << 25
 

@@ -7,26 +7,46 @@ gives the best sequence of labels, hence spans of mixed-language texts; the lang
 The model is fitted on a bounded sample (SAMPLE texts a language at most, those of the smallest hashes of the id, outside
 the held-out quarter) and has a fixed size. Prediction is one map-only pass; texts of a batch go through Viterbi in step.
 
-Defined cases: null, empty and letterless texts are `und` with score 0; ties go to the language that sorts first;
+Defined cases: null, empty and letterless texts (no code point of a letter category) are `und` with score 0; ties go to the language that sorts first;
 repeated rows get equal results; without a labelled row all texts are `und`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices
+from .common import crc_mod, gram_cells, slices
 
 SAMPLE, CELLS, PENALTY = 600, 1 << 16, 8.0
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(*categories: str) -> str:
+    """A character class body of the code points of some Unicode categories."""
+    held = [unicodedata.category(chr(c))[0] in categories for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(len(held)) if held[c] and not (c and held[c - 1])], [c for c in range(len(held)) if held[c] and not (c + 1 < len(held) and held[c + 1])]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(*edges))
+
+
+#: Runs of letters with the marks on them; of ASCII texts, letters.
+_ASCII_WORD = re.compile("[a-z]+")
+
+
+@cache
+def _word() -> re.Pattern:
+    letters = _ranges("L")
+    return re.compile(f"[{letters}][{letters}{_ranges('M')}]*")
+
+
 _CACHE = 100_000
 
 # First code points of script ranges; what stands between two of them belongs to the former.
@@ -47,12 +67,12 @@ def script_of(word: str) -> str:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    return (_ASCII_WORD if low.isascii() else _word()).findall(low)
 
 
-def cells_of(word: str) -> list[int]:
-    w = f"^{word}$"
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % CELLS for n in (1, 2, 3, 4) for i in range(max(1, len(w) - n + 1))]
+def cells_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return gram_cells(words, 1, 4, CELLS)
 
 
 class Model:
@@ -63,8 +83,10 @@ class Model:
         for t, lang in zip(texts, langs):
             words[self.langs.index(lang)].update(words_of(t))
         for k, c in enumerate(words):
+            if c:
+                cells, at = cells_of(list(c))
+                np.add.at(counts[:, k], cells, np.repeat(np.fromiter(c.values(), dtype=np.int64, count=len(c)), np.diff(at)))
             for w, n in c.items():
-                np.add.at(counts[:, k], cells_of(w), n)
                 scripts.setdefault(script_of(w), np.zeros(len(self.langs)))[k] += n
         self.log = np.log(counts / counts.sum(0)).astype(np.float32)
         totals = np.array([max(1, sum(c.values())) for c in words])
@@ -72,9 +94,8 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """(words, languages): at most 0, 0 for the best; far below for those that the script rules out."""
-        cells = [cells_of(w) for w in words]
-        at = np.cumsum([0, *map(len, cells)])
-        s = np.add.reduceat(self.log[np.array([c for x in cells for c in x])], at[:-1], axis=0)
+        cells, at = cells_of(words)
+        s = np.add.reduceat(self.log[cells], at[:-1], axis=0)
         s = s / 4  # a letter is in up to four grams
         every = np.ones(len(self.langs), dtype=bool)
         s = np.where(np.array([self.candidates.get(script_of(w), every) for w in words]), s, -1e4)

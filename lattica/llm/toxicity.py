@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, mix64, slices
+from .common import crc_mod, gram_cells, slices
 
 WINDOW, STRIDE = 48, 32
 #: Texts per class that the network is fitted on, at most; words with an embedding of their own; cells of character grams.
@@ -36,22 +36,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def gram_cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the character 3- to 5-grams of all words, marked by ^ and $, end to end; and where each word's begin."""
-    marked = [f"^{w}$" for w in words]
-    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, marked), dtype=np.int64, count=len(marked)))
-    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(points))  # characters from here to the word's end
-    cells, there = np.empty((len(points), 3), np.int64), np.empty((len(points), 3), bool)
-    h = np.zeros(len(points), np.uint64)
-    for n in range(5):
-        h[: len(h) - n] = h[: len(h) - n] * np.uint64(0x100000001B3) + points[n:]
-        if n >= 2:
-            cells[:, n - 2], there[:, n - 2] = mix64(h + np.uint64(n)) % np.uint64(GRAMS), left > n
-    so_far = np.cumsum(there.sum(1))
-    return cells[there], np.concatenate([[0], so_far[ends - 1]]).astype(np.int64)
-
-
 def window_starts(n: int) -> range:
     """Starts of the windows of n words: every word is in one, and neighbours overlap."""
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
@@ -78,7 +62,7 @@ class Network:
     def inputs(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Word ids, gram cells of all words end to end, and where each word's begin."""
         ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        return ids, *gram_cells(words)
+        return ids, *gram_cells(words, 3, 5, GRAMS)
 
     def embedded(self, ids, cells, at) -> np.ndarray:
         chars = np.add.reduceat(self.p["char"][cells], at[:-1]) / np.diff(at)[:, None]
@@ -258,7 +242,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 7, prior: float = 0.1
     clean, toxic = (y == 0).sum(), (y == 1).sum()
     grams = np.zeros((GRAMS, 2))
     for d, one in zip(docs, y):
-        grams[np.unique(gram_cells(list(set(d)))[0]), int(one)] += 1
+        grams[np.unique(gram_cells(list(set(d)), 3, 5, GRAMS)[0]), int(one)] += 1
 
     def odds(seen: np.ndarray) -> np.ndarray:
         """Log odds of toxic texts among those that have something, drawn to 0 by their deviation."""
