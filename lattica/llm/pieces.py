@@ -48,6 +48,7 @@ class Pieces:
         self.unknown = min((s for _, _, s in pieces), default=0.0) - UNKNOWN
         self.by_word = all(SPACE not in p.lstrip(SPACE) for _, p, _ in pieces) and not any(p.startswith(SPACE * 2) and p.strip(SPACE) for _, p, _ in pieces)
         self.seen: dict[str, bytes] = {}
+        self.raw = {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in self.text.items()} | {i: bytes([b]) for i, b in self.bytes.items()}
 
     @classmethod
     def from_model(cls, path: str) -> Pieces:
@@ -82,12 +83,17 @@ class Pieces:
             at = back[at]
         return out[::-1]
 
-    def _kept(self, word: str) -> bytes:
-        got = self.seen.get(word)
-        if got is None:
-            if len(self.seen) >= _CACHE:
-                self.seen.clear()
-            got = self.seen[word] = array("i", self.best(word)).tobytes()
+    def _kept(self, words: list[str]) -> list[bytes]:
+        """The ids of words, kept from call to call."""
+        seen = self.seen
+        got = [seen.get(w) for w in words]
+        if None in got:
+            if len(seen) >= _CACHE:
+                seen.clear()
+            for k, g in enumerate(got):
+                if g is None:
+                    w = words[k]
+                    got[k] = seen[w] = seen.get(w) or array("i", self.best(w)).tobytes()
         return got
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -99,23 +105,12 @@ class Pieces:
             if k:
                 out.append(array("i", [self.byte_ids[b] for b in SPACE.encode()]).tobytes())
             s = (SPACE if not k else "") + part.replace(" ", SPACE)
-            out += map(self._kept, _CUT.findall(s)) if self.by_word else [array("i", self.best(s)).tobytes()]
+            out += self._kept(_CUT.findall(s)) if self.by_word else [array("i", self.best(s)).tobytes()]
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids) -> str:
-        out, raw = [], bytearray()
-        for i in ids.tolist() if isinstance(ids, np.ndarray) else ids:
-            b = self.bytes.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
-                raw.clear()
-            out.append(self.text[i].replace(SPACE, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "surrogatepass"))
-        return "".join(out)[1:]
+        raw = map(self.raw.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)
+        return b"".join(raw).decode("utf-8", "surrogatepass")[1:]
 
 
 def encoded(docs: DataFrame, model: str, id_column: str = "doc_id") -> DataFrame:
