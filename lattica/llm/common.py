@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -69,6 +70,23 @@ def slices(batches, rows: int = 500):
             yield batch.slice(k, rows)
 
 
+def tidy(run):
+    """A function of Arrow batches that, when its task is done, gives the memory it has freed back to the system.
+
+    Workers live on between tasks, several on each executor; what one task needed at its peak must not add up with theirs.
+    """
+
+    def own(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return own
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of a column's text form, modulo; null where the column is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -200,20 +218,19 @@ def in_bloom(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 #: Rows of one key from which on a join deals the key to several tasks, and the most keys that are dealt so.
-SHARE, DEALT_KEYS = 2_000, 20_000
+SHARE, DEALT_KEYS = 500, 20_000
 
 
 def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """left joined with right, in which key is unique: a key of many rows in left goes to several tasks.
 
     The rows of such a key are dealt by a hash of the column `by`, and right's row of it is repeated for every share. The
-    list of such keys has at most DEALT_KEYS rows, for the least number of rows that makes a key one grows with left. Keys
-    are counted in `counts`, a written table with left's keys, or in left itself.
+    list of such keys has at most DEALT_KEYS rows, the most frequent ones: any other key has fewer rows than that part of
+    left. Keys are counted in `counts`, a written table with left's keys, or in left itself.
     """
     counts = left if counts is None else counts
-    most = max(SHARE, counts.count() // DEALT_KEYS)
-    big = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__c")).where(F.col("__c") > most)
-    big = big.select(F.col(key), F.ceil(F.col("__c") / most).cast("int").alias("__shares")).collect()  # at most DEALT_KEYS rows
+    many = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > SHARE)
+    big = many.orderBy(F.desc("c"), key).limit(DEALT_KEYS).select(key, F.ceil(F.col("c") / SHARE).cast("int").alias("__shares")).collect()
     if not big:
         return left.join(right, key, how)
     shares = F.broadcast(left.sparkSession.createDataFrame(big, left.select(key).schema.add("__shares", "integer")))
@@ -263,7 +280,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """
     now = scratch.keep(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     if now.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES:
-        all_of_it = scratch.keep(now.coalesce(1).mapInArrow(_united, "id long, root long"), f"{name}-all")
+        all_of_it = scratch.keep(now.coalesce(1).mapInArrow(tidy(_united), "id long, root long"), f"{name}-all")
         scratch.drop(f"{name}-0")
         return all_of_it
     before, step = None, 0

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from lattica.llm import jaccard, language, licenses, ogg, packing, pieces, pii, quality, tokenids, toxicity
+from lattica.llm import common, jaccard, language, licenses, ogg, packing, pieces, pii, quality, tokenids, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, quality string, pii string, licenses string, key long, n long"
 
@@ -84,13 +84,40 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
         if x and y and 100 * len(x & y) >= 80 * len(x | y):
             p, q = sorted((top(a), top(b)))
             up[q] = p
-    for short, hubs, few, heavy in ((12, 2, 100_000, 4), (2, 1, 1, 2)):
-        for k, v in (("SHORT", short), ("HUBS", hubs), ("FEW", few), ("HEAVY_FROM", heavy)):
+    for short, hubs, few, heavy, edges in ((12, 2, 100_000, 4, 15_000), (2, 1, 1, 2, 1)):
+        for k, v in (("SHORT", short), ("HUBS", hubs), ("FEW", few), ("HEAVY_FROM", heavy), ("LIST_SHARE", 8 if edges == 1 else 512), ("COUNTED_TOKENS", 2_000)):
             monkeypatch.setattr(jaccard, k, v)
+        monkeypatch.setattr(common, "SMALL_EDGES", edges)
+        monkeypatch.setattr(common, "SHARE", 3 if edges == 1 else 2_000)
         found = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert found == {i: (top(i), len(sets[i])) for i, _ in rows}
 
 
+def test_names_of_sets_that_share_64_bits(spark, monkeypatch):
+    whole = jaccard.fingerprint
+    monkeypatch.setattr(jaccard, "fingerprint", lambda s, odd=jaccard._ODD: 7 if odd == jaccard._ODD else whole(s, odd))
+    texts = [f"a{i % 3} b{i % 3} c{i % 3} d{i % 3} e{i % 3} f{i % 3}" for i in range(9)]
+    signed = jaccard.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len({(r["fp"], r["other"]) for r in signed.collect()}) == 3
+
+
+def test_words_of_like_structure_have_hashes_of_their_own():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    own = jaccard.Shingler()([a, b, a + " x", "x " + a, "ab", "ba"])
+    assert len({int(s[0]) for s in own}) == 6 and all(len(s) == 1 for s in own)
+
+
+def test_one_of_each_keeps_rows_of_other_classes(spark):
+    base, other = "one two three four five six seven eight nine ten " * 3, "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3
+    rows = [(1, base, 9), (1, other, 9), (2, base, 9), (None, other, 9), (None, "x y z", 9), (None, "x y z", 9), (4, None, 9), (4, " ", 9), (5, "x y z", 9), (6, "x y z", 9)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, set_0 int"))
+    assert kept.columns == ["doc_id", "text", "set_0"]
+    assert sorted(map(str, ((r[0], r[1]) for r in kept.collect()))) == sorted(map(str, [(1, base), (1, other), (4, None), (4, " "), (5, "x y z")]))
+    assert jaccard.one_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_bounds_against_brute_force():
     r = random.Random(2)
     cost = lambda L, c, b: sum(n * (min(x for x in b if x >= v) - v) for v, n in zip(L, c))
