@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, gram_cells, slices
+from .common import crc_mod, gram_cells, slices, tidy
 
 SAMPLE, CELLS, PENALTY = 600, 1 << 16, 8.0
 
@@ -204,7 +204,7 @@ def labelled(docs: DataFrame, model: Model | None, id_column: str = "doc_id") ->
             spans = pa.array([[{"first": f, "end": e, "lang": x} for f, e, x in g[2]] for g in got], type=span)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), spans], ["doc_id", "lang_pred", "score", "spans"])
 
-    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(label, "doc_id long, lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>")
+    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(tidy(label), "doc_id long, lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

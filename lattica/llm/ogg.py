@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 RATE, PACKET, STREAMS, MAGIC = 8000, 4096, 2, b"u8mono\0\0"
 #: The most samples that a page carries: 15 whole packets of 17 lacing values.
 PER_PAGE = 15
@@ -152,7 +154,7 @@ def encoded(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 forms = [padded(t) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in forms], type=pa.int64()), pa.array([encode(p) for p, _ in forms], type=pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(tidy(store), "doc_id long, n_bytes long, media binary")
 
 
 def features_of(media: bytes) -> tuple[bytes | None, str | None]:
@@ -179,7 +181,7 @@ def decoded(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), one(len, pa.int64()), one(lambda p: hashlib.sha256(p).hexdigest(), pa.string()), one(lambda p: zlib.crc32(p[-64:]), pa.int64()),
                                               pa.array([len(m) for m in stored], type=pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in stored]), pa.array([f for _, f in got], type=pa.string())], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(load, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(load), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

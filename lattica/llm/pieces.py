@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SPACE, UNKNOWN = "▁", 10.0
 _CACHE = 120_000
 _CUT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -123,7 +125,7 @@ def encoded(docs: DataFrame, model: str, id_column: str = "doc_id") -> DataFrame
                 b = batch.slice(k, 1000)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.encode(t) for t in b.column(1).to_pylist()], type=pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids array<int>")
+    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(tidy(encode), "doc_id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, model: str) -> DataFrame:
@@ -135,7 +137,7 @@ def decoded(ids: DataFrame, model: str) -> DataFrame:
             values, at = b.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(b.column(1).value_lengths().to_numpy())])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.decode(values[i:j]) for i, j in zip(at, at[1:])], type=pa.string())], ["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
+    return ids.select("doc_id", "ids").mapInArrow(tidy(decode), "doc_id long, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -154,4 +156,4 @@ def query(spark, sf_dir: str) -> DataFrame:
             parts = [values[i:j] for i, j in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array([zlib.crc32(p.astype("<i4").tobytes()) for p in parts], type=pa.int64()), pa.array([hashlib.sha256(pieces.decode(p).encode("utf-8", "surrogatepass")).hexdigest() for p in parts])], ["doc_id", "n_pieces", "ids_crc32", "text_sha256"])
 
-    return encoded(docs, model).mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string")
+    return encoded(docs, model).mapInArrow(tidy(digest), "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, tidy
 
 _CACHE = 600_000
 #: White space that a text cut into words must not hold, alone or as a run.
@@ -134,7 +134,7 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int = 0, shards: i
             files.move(a, f)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n_docs], "n_tokens": [at], "width": [encoder.dtype.itemsize]}, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
-    rows = sorted(dealt.mapInArrow(store, "shard int, n_docs long, n_tokens long, width int").collect())  # one row a shard
+    rows = sorted(dealt.mapInArrow(tidy(store), "shard int, n_docs long, n_tokens long, width int").collect())  # one row a shard
     bases = np.cumsum([0, *(r["n_tokens"] for r in rows)])
     table = [(r["shard"], r["n_docs"], r["n_tokens"], int(b), r["width"]) for r, b in zip(rows, bases) if r["n_docs"]]
     return spark.createDataFrame(table, "shard int, n_docs long, n_tokens long, base long, width int")
@@ -162,7 +162,7 @@ def read(manifest: DataFrame, root: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([ids_of, pa.array(m["base"] + at[k:to]), pa.array(np.diff(at[k : to + 1])), pa.array([w] * (to - k), type=pa.int32()), pa.array([bytes(p) for p in parts], type=pa.binary())], ["doc_id", "start", "n_tokens", "width", "ids"])
                         k = to
 
-    return manifest.repartition(max(1, manifest.count()), "shard").mapInArrow(load, "doc_id long, start long, n_tokens long, width int, ids binary")
+    return manifest.repartition(max(1, manifest.count()), "shard").mapInArrow(tidy(load), "doc_id long, start long, n_tokens long, width int, ids binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -177,4 +177,4 @@ def query(spark, sf_dir: str) -> DataFrame:
             crc = [zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(b.column(4).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, type=pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read(manifest, root).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(manifest, root).mapInArrow(tidy(digest), "doc_id long, start long, n_tokens long, ids_crc32 long")

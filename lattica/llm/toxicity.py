@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, gram_cells, slices
+from .common import crc_mod, gram_cells, slices, tidy
 
 WINDOW, STRIDE = 48, 32
 #: Texts per class that the network is fitted on, at most; words with an embedding of their own; cells of character grams.
@@ -308,7 +308,7 @@ def scored(docs: DataFrame, net: Network | None, prior: float, id_column: str =
             s = scorer.scores(c.column(1).to_pylist()) if scorer else np.full(len(c), min(prior, 0.49))
             yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s)], ["doc_id", "score"])
 
-    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
+    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), "text").mapInArrow(tidy(score), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, net: Network | None, prior: float) -> DataFrame:
@@ -321,7 +321,7 @@ def keep_clean(docs: DataFrame, net: Network | None, prior: float) -> DataFrame:
         for c in slices(batches):
             yield c.filter(pa.array(scorer.scores(c.column(place).to_pylist()) < 0.5)) if scorer else c
 
-    return docs.mapInArrow(clean, schema)
+    return docs.mapInArrow(tidy(clean), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
