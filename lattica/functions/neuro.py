@@ -5,29 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A word matches above MATCHED; the score weighs the share of matched words and the mean of their
-# similarities; a score below FLOOR counts as none; a clause without a strength takes DEFAULT_STRENGTH.
+# A word of the pattern matches above MATCHED; the score weighs the share of matched words and the mean
+# similarity of all of the pattern's words; a score below FLOOR counts as none; a clause without a strength takes DEFAULT_STRENGTH.
 MATCHED, RATIO_WEIGHT, MEAN_WEIGHT, FLOOR, DEFAULT_STRENGTH = 0.7, 0.7, 0.3, 0.3, 0.5
 
+#: The score of lower-case texts {v} and {p} in SQL: contained 1, else by the best of the text's words for each of the pattern's.
+_SCORE = f"""CASE WHEN contains({{v}}, {{p}}) THEN 1D WHEN trim({{p}}) = '' OR trim({{v}}) = '' THEN 0D ELSE
+aggregate(transform(filter(split({{p}}, '\\\\s+'), w -> w <> ''), w -> array_max(transform(filter(split({{v}}, '\\\\s+'), x -> x <> ''), x ->
+  CASE WHEN contains(x, w) OR contains(w, x) THEN 1D ELSE 1D - levenshtein(x, w) / greatest(octet_length(x), octet_length(w)) END))),
+  named_struct('n', 0, 'm', 0, 's', 0D), (a, b) -> named_struct('n', a.n + 1, 'm', a.m + IF(b > {MATCHED}D, 1, 0), 's', a.s + b),
+  a -> IF({RATIO_WEIGHT}D * a.m / a.n + {MEAN_WEIGHT}D * a.s / a.n < {FLOOR}D, 0D, {RATIO_WEIGHT}D * a.m / a.n + {MEAN_WEIGHT}D * a.s / a.n)) END"""
+
+
+def neuromatch_sql(value: str, pattern: str) -> str:
+    """Similarity of two SQL expressions, 0 to 1; null where one is."""
+    bound = _SCORE.format(v="z.v", p="z.p")
+    return f"transform(array(named_struct('v', lower(CAST({value} AS STRING)), 'p', lower(CAST({pattern} AS STRING)))), z -> IF(z.v IS NULL OR z.p IS NULL, NULL, {bound}))[0]"
+
 
 def neuromatch(value: Column, pattern: str) -> Column:
     """Similarity of a text with a pattern, 0 to 1: 1 if it contains the pattern, else by words and edit distance."""
     low = F.lower(value)
     words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
     parts = pattern.lower().split()
-    if not pattern:
-        return F.when(value.isNotNull(), F.lit(1.0))
+    contained = F.contains(low, F.lit(pattern.lower()))
 
     def best(p: str) -> Column:
         similar = lambda w: F.when(F.contains(w, F.lit(p)) | F.contains(F.lit(p), w), F.lit(1.0)).otherwise(1 - F.levenshtein(w, F.lit(p)) / F.greatest(F.octet_length(w), F.lit(len(p.encode()))))
-        return F.coalesce(F.array_max(F.transform(words, similar)), F.lit(0.0))
+        return F.array_max(F.transform(words, similar))
+
+    def combined(each: Column) -> Column:
+        """each: the best similarity for every word of the pattern."""
+        score = RATIO_WEIGHT * F.size(F.filter(each, lambda x: x > MATCHED)) / len(parts) + MEAN_WEIGHT * F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / len(parts)
+        return F.when(score < FLOOR, F.lit(0.0)).otherwise(score)
 
     if not parts:
-        return F.when(F.contains(low, F.lit(pattern.lower())), F.lit(1.0)).otherwise(F.when(value.isNotNull(), F.lit(0.0)))
-    each = F.array(*map(best, parts))
-    kept = F.transform(F.array(each), lambda a: F.filter(a, lambda x: x > MATCHED))[0]
-    score = F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, RATIO_WEIGHT * F.size(k) / len(parts) + MEAN_WEIGHT * F.aggregate(k, F.lit(0.0), lambda a, x: a + x) / F.size(k)).otherwise(F.lit(0.0)))[0]
-    return F.when(F.contains(low, F.lit(pattern.lower())), F.lit(1.0)).otherwise(F.when(score >= FLOOR, score).otherwise(F.when(value.isNotNull(), F.lit(0.0))))
+        return F.when(contained, F.lit(1.0)).otherwise(F.when(value.isNotNull(), F.lit(0.0)))
+    by_words = F.transform(F.array(F.array(*map(best, parts))), combined)[0]
+    return F.when(contained, F.lit(1.0)).otherwise(F.when(F.size(words) == 0, F.lit(0.0)).otherwise(by_words))
 
 
 def neuromatch_filter(df, pattern: str, field: str | None = None, strength: float = DEFAULT_STRENGTH):

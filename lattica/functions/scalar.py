@@ -92,14 +92,19 @@ def timestamp(x: Column) -> Column:
     return F.try_to_timestamp(x.cast("string"))
 
 
-def date_format(x: Column, pattern: str) -> Column:
+def java_pattern(pattern: str) -> str:
+    """The date pattern of a strftime one."""
     java, i = "", 0
     while i < len(pattern):
         if pattern[i : i + 2] in STRFTIME:
             java, i = java + STRFTIME[pattern[i : i + 2]], i + 2
         else:
             java, i = java + (f"'{pattern[i]}'" if pattern[i].isalpha() else pattern[i]), i + 1
-    return F.date_format(x, java)
+    return java
+
+
+def date_format(x: Column, pattern: str) -> Column:
+    return F.date_format(x, java_pattern(pattern))
 
 
 def date_add(x: Column, n: int, unit: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,12 +29,38 @@ def strengthen(edges: DataFrame, correlations: DataFrame, rate: float) -> DataFr
     return joined.select("src", "dst", F.when(F.col("corr").isNull(), F.col("weight")).otherwise(bounded(F.col("weight") + rate * c)).alias("weight"), F.when(F.col("corr").isNull(), F.col("plasticity")).otherwise(plastic).alias("plasticity"))
 
 
-def potentiate(edges: DataFrame, rate: float) -> DataFrame:
-    return edges.withColumn("weight", bounded(F.col("weight") + LTP_FACTOR * rate))
+def potentiate(edges: DataFrame, pairs: DataFrame, rate: float) -> DataFrame:
+    """Long-term potentiation of pairs (src, dst, corr): strengthened by LTP_FACTOR times their correlation."""
+    return strengthen(edges, pairs.withColumn("corr", LTP_FACTOR * F.col("corr")), rate)
+
+
+def depress(edges: DataFrame, pairs: DataFrame, rate: float) -> DataFrame:
+    """Long-term depression of pairs (src, dst): strengthened by minus LTD_RATE times the rate."""
+    return strengthen(edges, pairs.select("src", "dst", F.lit(-LTD_RATE * rate).alias("corr")), rate)
+
+
+def adaptive_rate(rate: float, recent: list[float], low: float = 0.001, high: float = 0.1) -> float:
+    """The rate over one plus the variance of the last ten changes, within bounds."""
+    last = recent[-10:]
+    if len(last) < 2:
+        return rate
+    return float(min(high, max(low, rate / (1 + np.var(last)))))
 
 
-def depress(edges: DataFrame, rate: float) -> DataFrame:
-    return edges.withColumn("weight", bounded(F.col("weight") - LTD_RATE * rate))
+def inhibit(nodes: DataFrame, neighbours: DataFrame, strength: float) -> DataFrame:
+    """nodes (id, activation, strength) after lateral inhibition by neighbours (active, id, distance): each active node takes
+    strength * its own strength * exp(-distance^2 / 2) from a neighbour's activation, which stays at 0 or more."""
+    active = nodes.select(F.col("id").alias("active"), F.col("strength").alias("by"))
+    loss = neighbours.join(active, "active").groupBy("id").agg(F.sum(strength * F.col("by") * F.exp(-F.col("distance") * F.col("distance") / 2)).alias("loss"))
+    return nodes.join(loss, "id", "left").select("id", F.greatest(F.lit(0.0), F.col("activation") - F.coalesce("loss", F.lit(0.0))).alias("activation"), "strength")
+
+
+def payload_score(payload: Column, query: str, strength: Column) -> Column:
+    """The share of the payload's windows that equal the query, more with the node's strength; 0 for a payload shorter than the query."""
+    windows = F.length(payload) - len(query) + 1
+    # overlapping places count: a look-ahead matches without taking characters
+    found = F.regexp_count(payload, F.lit("(?=" + re.escape(query) + ")"))
+    return F.when(windows > 0, found / windows * (1 + strength)).otherwise(F.lit(0.0))
 
 
 def decay(edges: DataFrame, factor: float) -> DataFrame:
@@ -54,17 +82,22 @@ def stdp(spikes: DataFrame, edges: DataFrame) -> DataFrame:
     """Weight changes (src, dst, change, pairs) of edges by spike times (node, ms): a range join within the window.
 
     Spikes are dealt to cells of the window's width; a spike meets those of its own and the two next cells, so the join
-    is one of equal keys.
+    is one of equal keys. Only the later side is repeated for the cells, so an edge meets each spike of its source once.
     """
     cell = F.floor(F.col("ms") / STDP_MS)
-    pre = spikes.select(F.col("node").alias("src"), F.col("ms").alias("t1"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    post = spikes.select(F.col("node").alias("dst"), F.col("ms").alias("t2"), cell.alias("cell"))
+    pre = spikes.select(F.col("node").alias("src"), F.col("ms").alias("t1"), cell.alias("cell"))
+    post = spikes.select(F.col("node").alias("dst"), F.col("ms").alias("t2"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     gap = F.col("t2") - F.col("t1")
     met = pre.join(edges.select("src", "dst"), "src").join(post, ["dst", "cell"]).where(F.abs(gap) <= STDP_MS)
     change = F.when(gap > 0, STDP_PLUS * F.exp(-gap / STDP_MS)).otherwise(-STDP_MINUS * F.exp(-F.abs(gap) / STDP_MS))
     return met.groupBy("src", "dst").agg(F.sum(change).alias("change"), F.count("*").alias("pairs"))
 
 
+def learn_spikes(spikes: DataFrame, edges: DataFrame, rate: float) -> DataFrame:
+    """edges (src, dst, weight, plasticity) strengthened by the sum of their spike pairs' changes."""
+    return strengthen(edges, stdp(spikes, edges).select("src", "dst", F.col("change").alias("corr")), rate)
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, function: str = "sigmoid") -> DataFrame:
     """One hop: each target's weighted sum of its sources' outputs (id, output), activated."""
     met = edges.join(nodes, F.col("src") == F.col("id"))

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Versions
+
 # Fixed value: rounds before recursion counts as endless.
 MAX_DEPTH = 1000
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """A reliable cut of the lineage where the session has a folder for it."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    path = f"{folder}/recursion-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rounds whose rows are put together as one table, so that no plan reads more tables than that.
+ROUNDS = 8
 
 
 def closure(start: DataFrame, edges: DataFrame, distinct: bool = True, max_depth: int = MAX_DEPTH, guard: str | None = None) -> DataFrame:
@@ -28,7 +19,9 @@ def closure(start: DataFrame, edges: DataFrame, distinct: bool = True, max_depth
     distinct: a node counts once, at its least depth (UNION); else once for every path (UNION ALL). guard is a condition on
     node and depth that rows must meet to go on. Raises RecursionError at max_depth rounds.
     """
-    frontier = _kept(start.select("node", F.lit(0).alias("depth")).distinct() if distinct else start.select("node", F.lit(0).alias("depth")))
+    tables = Versions(start.sparkSession, "recursion")
+    first = start.select("node", F.lit(0).alias("depth"))
+    frontier = tables.write(first.distinct() if distinct else first, "frontier")
     seen, depth = frontier, 0
     while not frontier.isEmpty():
         depth += 1
@@ -38,6 +31,8 @@ def closure(start: DataFrame, edges: DataFrame, distinct: bool = True, max_depth
         step = going.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(depth).alias("depth"))
         if distinct:
             step = step.distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = _kept(step)
+        frontier = tables.write(step, "frontier")
         seen = seen.unionByName(frontier)
+        if depth % ROUNDS == 0:
+            seen = tables.write(seen, "seen")
     return seen

@@ -54,11 +54,13 @@ both("join_right", "SELECT c_custkey, o_orderkey FROM {orders} RIGHT JOIN {custo
 both("join_full", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM {supplier} WHERE s_acctbal > 0) s FULL OUTER JOIN (SELECT * FROM {customer} WHERE c_acctbal > 5000) c ON s_suppkey = c_custkey")
 both("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
 both("join_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
-both("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
+both("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 both("join_compound", "SELECT a.l_orderkey, a.l_linenumber, b.l_suppkey FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_quantity > 40")
 both("join_theta", "SELECT a.n_name AS low, b.n_name AS high FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
 both("join_or", "SELECT a.n_nationkey, r_regionkey FROM {nation} a JOIN {region} ON a.n_regionkey = r_regionkey OR a.n_nationkey = r_regionkey")
 both("join_using", "SELECT o_orderkey, n FROM {orders} JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) x USING (o_orderkey)")
+both("join_natural", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM {nation}) NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM {region})")
+both("join_self", "SELECT a.s_suppkey AS s, b.s_suppkey AS t FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 both("join_chain", "SELECT r_name, count(*) AS n FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name")
 
 # aggregation
@@ -72,6 +74,10 @@ both("agg_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {linei
 both("agg_cube", "SELECT p_brand, p_type, count(*) AS n FROM {part} GROUP BY CUBE (p_brand, p_type)")
 both("agg_filter", "SELECT event_type, count(*) FILTER (WHERE value > 10) AS big, count(*) AS n FROM {events} GROUP BY event_type")
 
+both("agg_grouping_sets", "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM {customer} GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ())")
+both("agg_spread", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_discount), 8) AS v, round(corr(l_quantity, l_extendedprice), 6) AS c FROM {lineitem} GROUP BY l_returnflag")
+both("agg_sum_distinct", "SELECT o_orderpriority, sum(DISTINCT o_custkey) AS s, count(DISTINCT o_orderstatus) AS k FROM {orders} GROUP BY o_orderpriority")
+
 # windows: the whole partition, unless the frame says otherwise
 _ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 both("window_rank", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment NULLS FIRST) AS rk, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment NULLS FIRST) AS dr FROM {customer}")
@@ -81,6 +87,10 @@ both("window_values", f"SELECT o_orderkey, first_value(o_orderkey) OVER w AS f,
 both("window_aggregates", f"SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS total, round(avg(o_totalprice) OVER w, 4) AS mean, count(*) OVER w AS n, min(o_totalprice) OVER w AS lo, max(o_totalprice) OVER w AS hi FROM {{orders}} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey {_ALL})")
 both("window_running", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running, percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pr FROM {orders}")
 
+both("window_cume_dist", "SELECT c_custkey, round(cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment NULLS FIRST), 9) AS cd, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment NULLS FIRST), 9) AS pr FROM {customer}")
+both("window_moving", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS mean FROM {orders}")
+both("window_range", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_custkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM {orders}")
+
 # sorting, limits, sets
 both("sort_limit", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")
 both("sort_offset", "SELECT c_custkey, c_nationkey FROM {customer} ORDER BY c_nationkey NULLS FIRST, c_custkey DESC LIMIT 20 OFFSET 15")
@@ -88,13 +98,14 @@ both("distinct", "SELECT DISTINCT o_orderpriority, o_orderstatus FROM {orders}")
 both("set_union", "SELECT n_regionkey AS k FROM {nation} UNION SELECT r_regionkey AS k FROM {region}")
 both("set_union_all", "SELECT n_regionkey AS k FROM {nation} UNION ALL SELECT r_regionkey AS k FROM {region}")
 both("set_intersect", "SELECT s_nationkey AS k FROM {supplier} INTERSECT SELECT c_nationkey AS k FROM {customer} WHERE c_acctbal < 0")
-both("set_except", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nationkey AS k FROM {supplier}")
+both("set_except", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nationkey AS k FROM {supplier} WHERE s_acctbal > 8000")
 
 # subqueries and CTEs
 both("derived_table", "SELECT segment, n FROM (SELECT c_mktsegment AS segment, count(*) AS n FROM {customer} GROUP BY c_mktsegment) x WHERE n > 10")
 both("scalar_subquery", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM {orders})")
 both("correlated_scalar", "SELECT c_custkey, (SELECT count(*) FROM {orders} WHERE o_custkey = c_custkey) AS n FROM {customer}")
 both("in_subquery", "SELECT s_suppkey FROM {supplier} WHERE s_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)")
-both("not_in_subquery", "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 30)")
+# keys that can't be null make NOT IN a plain anti join; over nullable ones, one side would have to be broadcast
+both("not_in_subquery", "SELECT p_partkey FROM {part} WHERE coalesce(p_partkey, -1) NOT IN (SELECT coalesce(l_partkey, -2) FROM {lineitem} WHERE l_quantity > 45)")
 both("with_chain", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS total FROM {orders} GROUP BY o_custkey), b AS (SELECT avg(total) AS mean FROM a) SELECT o_custkey, round(total, 2) AS total FROM a, b WHERE total > 2 * mean")
 both("with_recursive", "WITH RECURSIVE t(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 50) SELECT n, total FROM t")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Versions
+
 
 def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream of the events table's files."""
@@ -48,7 +51,16 @@ def batches(df: DataFrame, size: int = 100):
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is now; its result as a table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what there is now; its result as a written table.
+
+    Each batch is written beside the others: in complete mode the last one is the result, in append mode all are.
+    """
+    tables, done = Versions(stream.sparkSession, name), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        if mode == "complete":
+            done.clear()
+        done.append(tables.write(batch, f"batch-{number}"))
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return reduce(DataFrame.unionByName, done) if done else stream.sparkSession.createDataFrame([], stream.schema)
