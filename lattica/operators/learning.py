@@ -40,9 +40,9 @@ def depress(edges: DataFrame, pairs: DataFrame, rate: float) -> DataFrame:
 
 
 def adaptive_rate(rate: float, recent: list[float], low: float = 0.001, high: float = 0.1) -> float:
-    """The rate over one plus the variance of the last ten changes, within bounds."""
+    """The rate over one plus the variance of the last ten weights, within bounds; the rate itself before there are five."""
     last = recent[-10:]
-    if len(last) < 2:
+    if len(recent) < 5:
         return rate
     return float(min(high, max(low, rate / (1 + np.var(last)))))
 

@@ -37,13 +37,68 @@ def colouring(edges: DataFrame, colours: int, penalty: float = 10.0) -> DataFram
     return own.unionByName(pairs).unionByName(clash).groupBy("i", "j").agg(F.sum("q").alias("q"))
 
 
+def tour(distances: DataFrame, n: int) -> DataFrame:
+    """Coefficients of a shortest tour of n places by distances (i, j, d), over variables place * n + time.
+
+    Steps cost their distance; a place at two times or a time with two places costs twice the longest distance, and each
+    place and time that is filled wins as much.
+    """
+    most = distances.agg((2 * F.max("d")).alias("p"))  # one row
+    times = lambda end: F.explode(F.sequence(F.lit(0), F.lit(end)))
+    at = lambda place, time: F.col(place) * n + F.col(time)
+    steps = distances.where("i != j").select("i", "j", "d", times(n - 2).alias("t")) if n > 1 else distances.limit(0).withColumn("t", F.lit(0))
+    cost = steps.select(at("i", "t").alias("i"), (F.col("j") * n + F.col("t") + 1).alias("j"), "d").withColumnRenamed("d", "q")
+    spark = distances.sparkSession
+    cells = spark.range(n).select(F.col("id").alias("v"), times(n - 1).alias("t")).withColumn("u", times(n - 1))
+    pairs = cells.where("t != u").select(at("v", "t").alias("i"), at("v", "u").alias("j"), F.lit(1.0).alias("w"))  # one place, two times
+    pairs = pairs.unionByName(cells.where("t != u").select((F.col("t") * n + F.col("v")).alias("i"), (F.col("u") * n + F.col("v")).alias("j"), F.lit(1.0).alias("w")))  # one time, two places
+    own = cells.where("u = 0").select(at("v", "t").alias("i"), at("v", "t").alias("j"), F.lit(-2.0).alias("w"))
+    rules = pairs.unionByName(own).crossJoin(F.broadcast(most)).select("i", "j", (F.col("w") * F.col("p")).alias("q"))
+    return cost.unionByName(rules).groupBy("i", "j").agg(F.sum("q").alias("q"))
+
+
+def ferromagnet(spark, n: int, coupling: float = 1.0) -> DataFrame:
+    """Couplings (i, j, s) of n spins that all pull each other."""
+    return spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias("j")).where("i < j").withColumn("s", F.lit(coupling))
+
+
+def spin_glass(spark, n: int, disorder: float = 1.0, seed: int = 1) -> DataFrame:
+    """Couplings (i, j, s) of n spins, uniform in plus or minus the disorder, the same for the same seed."""
+    unit = F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    return ferromagnet(spark, n).withColumn("s", (2 * unit - 1) * disorder)
+
+
+def field(schedule: str, share: float, first: float, power: float = 2.0) -> float:
+    """The transverse field after a share of the run: from `first` towards zero."""
+    return {"linear": first * (1 - share), "exponential": first * float(np.exp(-5 * share)), "polynomial": first * (1 - share) ** power}[schedule]
+
+
+def best_iterations(counts: DataFrame) -> DataFrame:
+    """counts (n, m) with the rounded best number of iterations."""
+    return counts.withColumn("rounded", F.when(F.col("m") > 0, F.round(F.lit(np.pi / 4) * F.sqrt(F.col("n") / F.greatest("m", F.lit(1))))).otherwise(0).cast("long"))
+
+
+def together(queries: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several queries in one result: (query, row as JSON), run as one job."""
+    tagged = [df.select(F.lit(name).alias("query"), F.to_json(F.struct(*sorted(df.columns))).alias("row")) for name, df in sorted(queries.items())]
+    out = tagged[0]
+    for t in tagged[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def to_ising(q: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Couplings (i, j, s) and fields (i, h) of x = (1 + s) / 2; the offset follows as sum q_ii / 2 + sum q_ij / 4."""
+    """Couplings (i, j, s) and fields (i, h) of x = (1 + s) / 2; the constant is ising_offset()."""
     couple = q.where("i != j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("q") / 4).alias("s")).groupBy("i", "j").agg(F.sum("s").alias("s"))
     parts = q.where("i = j").select("i", (F.col("q") / 2).alias("h")).unionByName(q.where("i != j").select("i", (F.col("q") / 4).alias("h"))).unionByName(q.where("i != j").select(F.col("j").alias("i"), (F.col("q") / 4).alias("h")))
     return couple, parts.groupBy("i").agg(F.sum("h").alias("h"))
 
 
+def ising_offset(q: DataFrame) -> DataFrame:
+    """(offset): what the energy of the spins lacks to that of the binary problem."""
+    return q.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("q") / 2).otherwise(F.col("q") / 4)).alias("offset"))
+
+
 def solve_exact(q: DataFrame, n: int) -> DataFrame:
     """(state, energy) of all 2^n states of coefficients (i, j, q), n <= 20: the coefficients are a bounded array."""
     if n > 20:

@@ -76,7 +76,7 @@ both("agg_filter", "SELECT event_type, count(*) FILTER (WHERE value > 10) AS big
 
 both("agg_grouping_sets", "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM {customer} GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ())")
 both("agg_spread", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_discount), 8) AS v, round(corr(l_quantity, l_extendedprice), 6) AS c FROM {lineitem} GROUP BY l_returnflag")
-both("agg_sum_distinct", "SELECT o_orderpriority, sum(DISTINCT o_custkey) AS s, count(DISTINCT o_orderstatus) AS k FROM {orders} GROUP BY o_orderpriority")
+both("agg_sum_distinct", "SELECT o_orderpriority, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS s, count(DISTINCT o_orderstatus) AS k FROM {orders} GROUP BY o_orderpriority")
 
 # windows: the whole partition, unless the frame says otherwise
 _ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
