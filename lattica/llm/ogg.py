@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import tidy
 
-RATE, PACKET, STREAMS, MAGIC = 8000, 4096, 2, b"u8mono\0\0"
-#: The most samples that a page carries: 15 whole packets of 17 lacing values.
-PER_PAGE = 15
+RATE, PACKET, STREAMS, MAGIC = 8000, 5120, 2, b"u8mono\0\0"
+#: Lacing values of a page. A whole packet has 21 of them, so packets of long payloads run on from page to page.
+SEGMENTS = 255
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
@@ -36,26 +36,42 @@ def checksum(data: bytes) -> int:
     return int.from_bytes(mirrored.to_bytes(4, "little").translate(_REVERSED), "big")
 
 
-def page(serial: int, sequence: int, granule: int, packets: list[bytes], flags: int) -> bytes:
-    """A page of whole packets."""
-    lacing = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
+def page(serial: int, sequence: int, granule: int, lacing: bytes, body: bytes, flags: int) -> bytes:
     head = struct.pack("<4sBBqIII", b"OggS", 0, flags, granule, serial, sequence, 0) + bytes([len(lacing)]) + lacing
-    data = head + b"".join(packets)
+    data = head + body
     return data[:22] + struct.pack("<I", checksum(data)) + data[26:]
 
 
-def encode(payload: bytes, per_page: int = PER_PAGE) -> bytes:
+def lacing_of(packets: list[bytes]) -> bytes:
+    """Lacing values: 255 for each such piece of a packet, then what is left, 0 to 254."""
+    return b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
+
+
+def paged(serial: int, sequence: int, packets: list[bytes], segments: int = SEGMENTS) -> list[bytes]:
+    """The pages of a stream's data packets; a page's granule is the samples of the packets that are whole by its end, -1 if none ends on it."""
+    lacing, body = lacing_of(packets), b"".join(packets)
+    out, at, samples, whole = [], 0, 0, 0
+    for k in range(0, max(1, len(lacing)), segments):
+        own = lacing[k : k + segments]
+        size = sum(own)
+        ended = sum(v < 255 for v in own)
+        samples += sum(map(len, packets[whole : whole + ended]))
+        whole += ended
+        flags = (1 if k and lacing[k - 1] == 255 else 0) | (4 if k + segments >= len(lacing) else 0)
+        out.append(page(serial, sequence + len(out), samples if ended or not own else -1, own, body[at : at + size], flags))
+        at += size
+    return out
+
+
+def encode(payload: bytes, segments: int = SEGMENTS) -> bytes:
     """The Ogg form of a payload."""
     chunks = [payload[i : i + PACKET] for i in range(0, len(payload), PACKET)]
     own = [chunks[s::STREAMS] for s in range(STREAMS)]
-    out = [page(s + 1, 0, 0, [MAGIC + struct.pack("<IQB", RATE, sum(map(len, own[s])), s)], 2) for s in range(STREAMS)]
-    pages = [[own[s][i : i + per_page] for i in range(0, len(own[s]), per_page)] or [[]] for s in range(STREAMS)]
-    granule = [0] * STREAMS
+    heads = [MAGIC + struct.pack("<IQB", RATE, sum(map(len, own[s])), s) for s in range(STREAMS)]
+    out = [page(s + 1, 0, 0, lacing_of([h]), h, 2) for s, h in enumerate(heads)]
+    pages = [paged(s + 1, 1, own[s], segments) for s in range(STREAMS)]
     for k in range(max(map(len, pages))):
-        for s in range(STREAMS):
-            if k < len(pages[s]):
-                granule[s] += sum(map(len, pages[s][k]))
-                out.append(page(s + 1, k + 1, granule[s], pages[s][k], 4 if k + 1 == len(pages[s]) else 0))
+        out += [pages[s][k] for s in range(STREAMS) if k < len(pages[s])]
     return b"".join(out)
 
 

@@ -161,15 +161,19 @@ def test_ogg_pages():
     payload = bytes(range(256)) * 600
     media = ogg.encode(payload)
     assert ogg.decode(media)[0] == payload
+    for segments in (1, 20, 21, 22, 255):
+        some = ogg.encode(payload, segments)
+        assert ogg.decode(some) == ogg.decode(media) and (segments == 21 or any(flags & 1 for *_, flags, _, _ in ogg.pages(some)))
     with pytest.raises(ValueError):
         ogg.decode(media[:100] + b"x" + media[101:])
     # a packet over two pages
-    one = ogg.page(7, 0, 0, [b"head"], 2)
+    whole = lambda sequence, granule, packet, flags: ogg.page(7, sequence, granule, ogg.lacing_of([packet]), packet, flags)
+    one = whole(0, 0, b"head", 2)
     lacing = b"\xff" * 2
     body = b"z" * 510
     first = b"OggS\0\0" + (-1).to_bytes(8, "little", signed=True) + (7).to_bytes(4, "little") + (1).to_bytes(4, "little") + b"\0\0\0\0" + bytes([2]) + lacing + body
     first = first[:22] + ogg.checksum(first).to_bytes(4, "little") + first[26:]
-    last = ogg.page(7, 2, 600, [b"tail"], 5)
+    last = whole(2, 600, b"tail", 5)
     assert ogg.demultiplex(one + first + last)[7][1] == (body + b"tail", 600)
 
 
