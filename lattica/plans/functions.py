@@ -230,6 +230,22 @@ def dna_round_trip(spark, sf_dir) -> DataFrame:
     return coded.select("doc_id", dna.decode(F.col("bases")).alias("raw")).select("doc_id", F.col("raw").cast("string").alias("text"), F.col("raw").isNotNull().alias("ok"))
 
 
+@query("dictionary_round_trip", "SELECT doc_id, coalesce(text, '') AS text, true AS shorter FROM documents")
+def dictionary_round_trip(spark, sf_dir) -> DataFrame:
+    t = F.coalesce(F.col("text"), F.lit(""))
+    short = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"), dna.with_dictionary(t).alias("s"))
+    # ÿ as a byte doubles, which no text in UTF-8 holds
+    return short.select("doc_id", dna.without_dictionary(F.col("s")).cast("string").alias("text"), (F.octet_length("s.data") <= F.octet_length("t")).alias("shorter"))
+
+
+@query("asof_join", "SELECT l.event_id, r.ts AS last FROM (SELECT * FROM events WHERE event_id % 2 = 0) l ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 1) r ON l.user_id = r.user_id AND l.ts >= r.ts")
+def asof_join(spark, sf_dir) -> DataFrame:
+    from ..operators.asof import asof
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return asof(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "ts").select("event_id", F.col("met.ts").alias("last"))
+
+
 @query("cosine_top_k", """
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
 s AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, e), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE) * x)))) AS c FROM embeddings, q)
