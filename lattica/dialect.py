@@ -152,8 +152,13 @@ MACROS = {
 MACROS["SUBSTR"] = MACROS["SUBSTRING"]
 
 
+_OPERAND = rf"(?:{_NAME.pattern}(?:\.{_NAME.pattern})?|'(?:[^']|'')*')"
+_SIMILAR = re.compile(rf"(?<![\w'.])({_OPERAND})\s+(?:(NOT)\s+)?SYNAPTIC_SIMILAR\s+({_OPERAND})", re.I)
+
+
 def rewritten(text: str) -> str:
-    """SQL text with the dialect's calls as expressions of built-in functions."""
+    """SQL text with the dialect's calls as expressions of built-in functions; `a SYNAPTIC_SIMILAR b` is a match of default strength."""
+    text = _SIMILAR.sub(lambda m: f"{(m[2] or '') and 'NOT '}(NEUROMATCH({m[1]}, {m[3]}) >= {neuro.DEFAULT_STRENGTH}D)", text)
     out, i = [], 0
     while i < len(text):
         if m := _QUOTED.match(text, i):

@@ -62,6 +62,13 @@ def synaptic_weight(x: Column, kind: str) -> Column:
     return F.coalesce(1 / (1 + F.exp(-x / 100)), F.lit(0.0))
 
 
+def richness(x: Column) -> Column:
+    """The weight of a text as a condition: half by its length up to 100, half by its share of distinct characters; 0 for an empty one."""
+    n = F.length(x)
+    kinds = F.size(F.array_distinct(F.filter(F.split(x, ""), lambda c: c != "")))
+    return F.when(n > 0, 0.5 * F.least(n / 100, F.lit(1.0)) + 0.5 * kinds / n).otherwise(F.lit(0.0))
+
+
 def hebbian(a: Column, b: Column, rate: float = 1.0) -> Column:
     """Joint activity of two numbers, more if they are equal and less if one is missing, times a rate; 0 to 1."""
     joint = synaptic_weight(a, "double") * synaptic_weight(b, "double")

@@ -23,6 +23,24 @@ def text_functions(spark, sf_dir) -> DataFrame:
                                                scalar.lpad(b, 9, "*").alias("lp"), scalar.rpad(n, 5, "-").alias("rp"), scalar.position(n, "r").alias("pos"), F.coalesce(F.nullif(t, F.lit("ECONOMY")), F.lit("none")).alias("kind"))
 
 
+@query("text_defaults", "SELECT p_partkey, trim('  ' || p_name || ' ') AS t, ltrim('  ' || p_name) AS l, rtrim(p_name || '  ') AS r, coalesce(nullif(p_type, 'ECONOMY'), p_brand) AS i, upper(substr(p_name, 1, 1)) || lower(substr(split_part(p_name, ' ', 1), 2)) AS first_word FROM part")
+def text_defaults(spark, sf_dir) -> DataFrame:
+    from ..engine import Engine
+
+    e = Engine(spark)
+    e.register("part_rows", table(spark, sf_dir, "part"))
+    return e.sql("SELECT p_partkey, TRIM(CONCAT('  ', p_name, ' ')) AS t, LTRIM(CONCAT('  ', p_name)) AS l, RTRIM(CONCAT(p_name, '  ')) AS r, IFNULL(NULLIF(p_type, 'ECONOMY'), p_brand) AS i, split_part(INITCAP(CONCAT(' ', p_name)), ' ', 1) AS first_word FROM part_rows")
+
+
+@query("time_functions", "SELECT event_id, CAST(hour(ts) AS INT) AS h, CAST(minute(ts) AS INT) AS m, CAST(second(ts) AS INT) AS s, CAST(floor(epoch(ts)) AS BIGINT) AS e, strftime(ts - INTERVAL 90 MINUTE, '%H:%M') AS before FROM events")
+def time_functions(spark, sf_dir) -> DataFrame:
+    from ..engine import Engine
+
+    e = Engine(spark)
+    e.register("event_rows", table(spark, sf_dir, "events"))
+    return e.sql("SELECT event_id, HOUR(ts) AS h, MINUTE(ts) AS m, SECOND(ts) AS s, EXTRACT(EPOCH FROM ts) AS e, DATE_FORMAT(DATE_SUB(ts, INTERVAL 90 MINUTE), '%H:%M') AS before FROM event_rows")
+
+
 @query("math_functions", """
 SELECT c_custkey, abs(c_acctbal) AS a, CAST(round(c_acctbal) AS BIGINT) AS r, round(c_acctbal, 1) AS r1, CAST(ceil(c_acctbal) AS BIGINT) AS up, CAST(floor(c_acctbal) AS BIGINT) AS down, CAST(sign(c_acctbal) AS BIGINT) AS s, CAST(trunc(c_acctbal) AS BIGINT) AS t,
 CASE WHEN c_nationkey = 0 THEN NULL ELSE c_custkey % c_nationkey END AS m, CASE WHEN c_acctbal >= 0 THEN round(sqrt(c_acctbal), 6) END AS q, CASE WHEN c_acctbal > 0 THEN round(ln(c_acctbal), 6) END AS l, CASE WHEN c_acctbal > 0 THEN round(log10(c_acctbal), 6) END AS l10,
@@ -83,6 +101,20 @@ def synaptic_weight(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(neuro.synaptic_weight(F.col("c_acctbal"), "double"), 6).alias("w"))
 
 
+@query("synaptic_richness", "SELECT p_partkey, round(0.5 * least(length(p_name) / 100.0, 1.0) + 0.5 * len(list_distinct(string_split(p_name, ''))) / length(p_name), 6) AS w FROM part")
+def synaptic_richness(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(neuro.richness(F.col("p_name")), 6).alias("w"))
+
+
+@query("synaptic_similar", _match_sql(["red", "ring"]).replace("FROM s", "FROM s WHERE s >= 0.5").replace("SELECT p_partkey, round(CAST(CASE WHEN s < 0.3 THEN 0.0 ELSE s END AS DOUBLE), 6) AS score", "SELECT p_partkey"))
+def synaptic_similar(spark, sf_dir) -> DataFrame:
+    from ..engine import Engine
+
+    e = Engine(spark)
+    e.register("part_rows", table(spark, sf_dir, "part"))
+    return e.sql("SELECT p_partkey FROM part_rows WHERE p_name SYNAPTIC_SIMILAR 'red ring'")
+
+
 @query("hebbian_learning", """
 WITH a AS (SELECT l_orderkey, l_linenumber, 1 / (1 + exp(-l_quantity / 100)) * 1 / (1 + exp(-l_linenumber / 100.0)) * CASE WHEN l_quantity = l_linenumber THEN 1.2 ELSE 1.0 END AS x FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(least(1.0, greatest(0.0, x)) * 0.5, 6) AS h FROM a""")
