@@ -103,6 +103,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_colum
     # the place in the partition: the low 33 bits of the id that Spark gives rows in order
     numbered = dealt.withColumn("__id", F.monotonically_increasing_id()).withColumns({"part": F.shiftright("__id", 33), "i": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id")
     numbered = scratch.keep(numbered, "numbered")
+    scratch.drop("lengths")
     counts = numbered.groupBy("part", "bucket").agg(F.count("*").alias("c"), F.min("i").alias("low"))  # partitions + buckets rows at most
     base = counts.withColumn("base", F.sum("c").over(Window.partitionBy("bucket").orderBy("part")) - F.col("c")).select("part", "bucket", (F.col("base") - F.col("low")).alias("shift"))
     ranked = numbered.join(F.broadcast(base), ["part", "bucket"]).withColumn("rank", F.col("i") + F.col("shift"))

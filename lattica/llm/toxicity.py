@@ -189,8 +189,8 @@ class Scorer:
         def flush():
             i, m = np.concatenate(ids).T.copy(), np.concatenate(masks).T.copy()
             o, w = np.concatenate(own), np.concatenate(number)
-            for k in range(0, len(o), 2048):
-                some = slice(k, k + 2048)
+            for k in range(0, len(o), 1024):
+                some = slice(k, k + 1024)
                 lo = self.net.logits(self.gates, i[:, some], m[:, some])
                 for d, x, v in zip(o[some].tolist(), w[some].tolist(), lo.tolist()):
                     if v > best[d]:
