@@ -125,3 +125,63 @@ def spike_trains(currents: DataFrame, kind: str = "regular") -> DataFrame:
         return pd.DataFrame({"neuron": np.full(len(fired), rows["neuron"].iloc[0]), "ms": np.array(fired, dtype="int64")})
 
     return currents.groupBy("neuron").applyInPandas(run, "neuron long, ms long")
+
+
+# Time constants and reversal potentials of exciting and inhibiting synapses; gains, time and reach of their learning.
+EXCITING, INHIBITING = (5.0, 0.0), (10.0, -70.0)
+GAIN_PLUS, GAIN_MINUS, LEARN_MS, LEARN_REACH_MS = 0.005, 0.00525, 20.0, 100
+
+
+def _simulated(synapses: pd.DataFrame, currents: pd.DataFrame, steps: int, learn: bool, kind: str) -> tuple[list, np.ndarray]:
+    """The spikes (ms, neuron) of one network and the weights of its synapses at the end."""
+    a, b, c, d = NEURONS[kind]
+    ids = np.unique(np.concatenate([synapses["src"], synapses["dst"], currents["neuron"]])).astype(np.int64)
+    pre, post = (np.searchsorted(ids, synapses[x].to_numpy()) for x in ("src", "dst"))
+    weight, delay = np.abs(synapses["weight"].to_numpy(dtype=float)), synapses["delay"].to_numpy(dtype=int)
+    inhibits = synapses["weight"].to_numpy(dtype=float) < 0
+    tau, rest = (np.where(inhibits, i, e) for e, i in zip(EXCITING, INHIBITING))
+    v, u = np.full(len(ids), c), np.full(len(ids), b * c)
+    conductance, last = np.zeros(len(pre)), np.full(len(ids), -(10**9))
+    arriving = np.zeros((int(delay.max(initial=1)) + 1, len(pre)))  # by time of arrival, in a ring
+    given = np.zeros((steps + 1, len(ids)))
+    inside = currents[(currents["ms"] >= 1) & (currents["ms"] <= steps)]
+    np.add.at(given, (inside["ms"].to_numpy(dtype=int), np.searchsorted(ids, inside["neuron"].to_numpy())), inside["current"].to_numpy(dtype=float))
+    spikes = []
+    for t in range(1, steps + 1):
+        slot = arriving[t % len(arriving)]
+        conductance = (conductance + slot) * np.exp(-1 / tau)
+        slot[:] = 0
+        total = given[t] + np.bincount(post, conductance * (rest - v[post]), len(ids))
+        for _ in range(2):
+            v = v + 0.5 * (0.04 * v * v + 5 * v + 140 - u + total)
+        u = u + a * (b * v - u)
+        fired = v >= 30.0
+        v, u = np.where(fired, c, v), np.where(fired, u + d, u)
+        last[fired] = t
+        spikes += [(t, n) for n in ids[fired].tolist()]
+        sent = np.flatnonzero(fired[pre])
+        arriving[(t + delay[sent]) % len(arriving), sent] += weight[sent]
+        if learn:
+            gap = t - last[pre]
+            change = np.where(gap > 0, GAIN_PLUS * np.exp(-gap / LEARN_MS), -GAIN_MINUS)
+            weight = np.where(fired[post] & (gap < LEARN_REACH_MS), np.clip(weight + change, 0.0, 1.0), weight)
+    return spikes, np.where(inhibits, -weight, weight)
+
+
+def spike_network(synapses: DataFrame, currents: DataFrame, steps: int, learn: bool = True, kind: str = "regular", weights: bool = False) -> DataFrame:
+    """Spikes (network, neuron, ms) of networks of spiking neurons, or the weights (network, src, dst, weight) that they end with.
+
+    synapses (network, src, dst, weight, delay in ms; a weight below 0 inhibits) and currents (network, neuron, ms from 1,
+    current). A millisecond: arrived spikes raise conductances, which decay and drive the neurons; neurons step; spikes are
+    sent; synapses of neurons that fired learn by the time since their source's last spike. Time runs in order, so a
+    network is one group; many networks run side by side.
+    """
+
+    def run(key, s: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        fired, end = _simulated(s, i, steps, learn, kind)
+        if weights:
+            return pd.DataFrame({"network": key[0], "src": s["src"], "dst": s["dst"], "weight": end})
+        return pd.DataFrame({"network": np.full(len(fired), key[0]), "neuron": np.array([n for _, n in fired], dtype="int64"), "ms": np.array([t for t, _ in fired], dtype="int64")})
+
+    schema = "network long, src long, dst long, weight double" if weights else "network long, neuron long, ms long"
+    return synapses.groupBy("network").cogroup(currents.groupBy("network")).applyInPandas(run, schema)

@@ -99,3 +99,48 @@ def test_neuromatch_edges(spark):
     assert [x[0] for x in d.select(neuro.neuromatch(F.col("v"), "")).collect()] == [1.0, 1.0, None]
     assert [x[0] for x in d.select(F.expr(neuro.neuromatch_sql("v", "''"))).collect()] == [1.0, 1.0, None]
     assert [x[0] for x in d.select(neuro.neuromatch(F.col("v"), "abd xyz")).collect()] == [0.0, 0.0, None]
+
+
+def _plain_network(synapses, currents, steps):
+    """One network step by step, synapse by synapse."""
+    ids = sorted({x for s in synapses for x in s[:2]} | {n for n, _, _ in currents})
+    v, u, last = dict.fromkeys(ids, -65.0), dict.fromkeys(ids, -13.0), {}
+    w, g, queue, spikes = [abs(s[2]) for s in synapses], [0.0] * len(synapses), [[] for _ in synapses], []
+    for t in range(1, steps + 1):
+        drive = {n: sum(c for m, at, c in currents if m == n and at == t) for n in ids}
+        for k, (_, post, sign, _) in enumerate(synapses):
+            g[k] += sum(x for at, x in queue[k] if at <= t)
+            queue[k] = [(at, x) for at, x in queue[k] if at > t]
+            g[k] *= np.exp(-1 / (10.0 if sign < 0 else 5.0))
+            drive[post] += g[k] * ((-70.0 if sign < 0 else 0.0) - v[post])
+        fired = []
+        for n in ids:
+            for _ in range(2):
+                v[n] += 0.5 * (0.04 * v[n] * v[n] + 5 * v[n] + 140 - u[n] + drive[n])
+            u[n] += 0.02 * (0.2 * v[n] - u[n])
+            if v[n] >= 30:
+                v[n], u[n], last[n] = -65.0, u[n] + 8.0, t
+                fired.append(n)
+        spikes += [(t, n) for n in fired]
+        for k, (pre, _, _, delay) in enumerate(synapses):
+            if pre in fired:
+                queue[k].append((t + delay, w[k]))
+        for k, (pre, post, _, _) in enumerate(synapses):
+            if post in fired and pre in last and t - last[pre] < 100:
+                gap = t - last[pre]
+                w[k] = min(1.0, max(0.0, w[k] + (0.005 * np.exp(-gap / 20) if gap > 0 else -0.00525)))
+    return spikes, w
+
+
+def test_spiking_networks(spark):
+    synapses = [(1, 2, 0.4, 1), (2, 3, 0.5, 3), (3, 1, -0.6, 2), (1, 3, 0.2, 1)]
+    currents = [(n, t, 10.0 if n == 1 else 3.0) for n in (1, 2) for t in range(1, 301)]
+    rows = [(k, *s) for k in (7, 8) for s in (synapses if k == 7 else synapses[:1])]
+    frame = spark.createDataFrame(rows, "network long, src long, dst long, weight double, delay int")
+    driven = spark.createDataFrame([(k, *c) for k in (7, 8) for c in currents], "network long, neuron long, ms long, current double")
+    got = learning.spike_network(frame, driven, 300).collect()
+    ends = learning.spike_network(frame, driven, 300, weights=True).collect()
+    for k, own in ((7, synapses), (8, synapses[:1])):
+        spikes, weights = _plain_network(own, currents, 300)
+        assert len(spikes) > 5 and sorted((r["ms"], r["neuron"]) for r in got if r["network"] == k) == sorted(spikes)
+        assert sorted(abs(r["weight"]) for r in ends if r["network"] == k) == pytest.approx(sorted(weights))
