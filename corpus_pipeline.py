@@ -1,6 +1,10 @@
 """A training-data pipeline: quality rules, toxicity, near-duplicates, personal data, packing.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again as the next one's docs.
+
+Defined cases, the same in every stage: a null text counts as empty (the quality rules reject it); rows that repeat are
+judged alike, and the join keeps one of them, whatever their ids; null ids pass through; an empty table gives an empty
+table; columns beyond those of documents, of any name, pass through all stages but the last.
 """
 
 from __future__ import annotations
