@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dna, neuro, scalar, vector
+from ..functions import codes, dna, neuro, scalar, vector
 from ..operators import learning, optimise, recursion, signal
 from ..session import table
 from .registry import query
@@ -270,6 +270,27 @@ def dictionary_round_trip(spark, sf_dir) -> DataFrame:
     return short.select("doc_id", dna.without_dictionary(F.col("s")).cast("string").alias("text"), (F.octet_length("s.data") <= F.octet_length("t")).alias("shorter"))
 
 
+@query("letter_code_round_trip", "SELECT doc_id, coalesce(text, '') AS text, true AS shorter FROM documents")
+def letter_code_round_trip(spark, sf_dir) -> DataFrame:
+    t = F.coalesce(F.col("text"), F.lit(""))
+    coded = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(t).alias("n"), codes.pack(dna.encode(t)).alias("c"))
+    return coded.select("doc_id", dna.decode(codes.unpack(F.col("c"))).cast("string").alias("text"), (F.octet_length("c.bits") <= F.col("n")).alias("shorter"))
+
+
+# byte 255 stands in no text in UTF-8, so each byte put there is a wrong one; 9 of them in one block are more than 16 check
+# bytes can mend, and the first block holds what a multiple of 239 bytes leaves
+@query("parity_repair", "SELECT doc_id, text, true AS wrong, (strlen(text) - 1) % 239 >= 8 AS lost FROM documents WHERE text <> ''")
+def parity_repair(spark, sf_dir) -> DataFrame:
+    raw = F.col("text").cast("binary")
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", raw.alias("raw"), codes.parity(raw).alias("parity"))
+
+    def damaged(n: int):
+        return F.concat(F.substring(F.lit(b"\xff" * n), F.lit(1), F.octet_length("raw")), F.substring(F.col("raw"), F.lit(n + 1), F.octet_length("raw")))
+
+    some = codes.repaired(damaged(8), F.col("parity"))
+    return docs.select("doc_id", some.cast("string").alias("text"), (damaged(8) != F.col("raw")).alias("wrong"), (~codes.repaired(damaged(9), F.col("parity")).eqNullSafe(F.col("raw"))).alias("lost"))
+
+
 @query("asof_join", "SELECT l.event_id, r.ts AS last FROM (SELECT * FROM events WHERE event_id % 2 = 0) l ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 1) r ON l.user_id = r.user_id AND l.ts >= r.ts")
 def asof_join(spark, sf_dir) -> DataFrame:
     from ..operators.asof import asof
