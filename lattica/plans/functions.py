@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, dna, neuro, scalar, vector
-from ..operators import learning, optimise, recursion, signal
+from ..operators import circuits, learning, optimise, plasticity, recursion, signal
 from ..session import table
 from .registry import query
 
@@ -147,6 +147,40 @@ p AS (SELECT src, dst, b.ms - a.ms AS gap FROM s a JOIN s b ON b.ms BETWEEN a.ms
 c AS (SELECT src, dst, sum(CASE WHEN gap > 0 THEN 0.1 * exp(-gap / 20) ELSE -0.05 * exp(-abs(gap) / 20) END) AS change, count(*) AS pairs FROM p GROUP BY src, dst)"""
 
 
+_NODES = "SELECT user_id AS node, nullif(user_id % 20, 7) AS cluster, (user_id * 7919 % 1000) / 1000.0 AS score, count(*) AS uses FROM events GROUP BY user_id"
+_LINKS = "SELECT a.user_id AS src, b.user_id AS dst, count(*) AS uses FROM events a JOIN events b ON b.event_id = a.event_id + 1 GROUP BY a.user_id, b.user_id"
+_FATES = f"""WITH n AS ({_NODES}), low AS (SELECT * FROM n WHERE score < 0.1 ORDER BY score, node LIMIT 100),
+best AS (SELECT cluster, node AS target FROM n WHERE score > 0.1 AND cluster IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, node) = 1),
+f AS (SELECT low.*, target FROM low LEFT JOIN best USING (cluster) WHERE target IS NOT NULL OR score < 0.05),
+k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, node DESC) - 1 AS after FROM f WHERE target IS NOT NULL),
+m AS (SELECT target AS node, sum(uses) AS more, count(*) AS c, sum(score * 0.3 * pow(0.7, after)) AS s FROM k GROUP BY target)"""
+
+
+def _network(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Users as nodes, those who follow each other in the events as connections."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    nodes = e.groupBy(F.col("user_id").alias("node")).agg(F.count("*").alias("uses")).select("node", F.expr("nullif(node % 20, 7)").alias("cluster"), (F.col("node") * 7919 % 1000 / 1000.0).alias("score"), "uses")
+    pairs = e.select("event_id", F.col("user_id").alias("src")).join(e.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("dst")), "event_id")
+    return nodes, pairs.groupBy("src", "dst").agg(F.count("*").alias("uses"))
+
+
+@query("consolidated_nodes", _FATES + " SELECT n.node, n.cluster, round(CASE WHEN c IS NULL THEN n.score ELSE n.score * pow(0.7, c) + s END, 6) AS score, CAST(n.uses + coalesce(more, 0) AS BIGINT) AS uses FROM n LEFT JOIN m USING (node) WHERE node NOT IN (SELECT node FROM f)")
+def consolidated_nodes(spark, sf_dir) -> DataFrame:
+    nodes, _ = plasticity.consolidated(*_network(spark, sf_dir))
+    return nodes.withColumn("score", F.round("score", 6))
+
+
+@query("consolidated_links", _FATES + f", l AS ({_LINKS}) SELECT * FROM l WHERE uses >= 2 AND src NOT IN (SELECT node FROM f) AND dst NOT IN (SELECT node FROM f)")
+def consolidated_links(spark, sf_dir) -> DataFrame:
+    return plasticity.consolidated(*_network(spark, sf_dir))[1]
+
+
+@query("capacity", f"SELECT count(*) AS nodes, count(*) / 100.0 AS utilisation, CASE WHEN count(*) >= 90 THEN 'consolidate' WHEN count(*) >= 80 THEN 'warn' ELSE 'free' END AS state, CAST(sum(floor(uses * 0.95)) AS BIGINT) AS left_uses FROM ({_NODES}) n")
+def capacity(spark, sf_dir) -> DataFrame:
+    nodes, _ = _network(spark, sf_dir)
+    return plasticity.capacity(nodes, 100).crossJoin(nodes.agg(F.sum(plasticity.faded(F.col("uses"))).alias("left_uses")))
+
+
 def _spikes(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("node"), (F.col("event_id") * 3).cast("double").alias("ms"))
 
@@ -362,6 +396,18 @@ def parallel_tempering(spark, sf_dir) -> DataFrame:
     return _annealed(spark, exchange=True)
 
 
+_RING = [(i, (i + step) % 8, 1.0 + (3 * i + step) % 4) for i in range(8) for step in (1, 3)]
+
+
+@query("register_solvers", "WITH s AS (SELECT range AS state FROM range(256)), e(i, j, w) AS (VALUES " + ", ".join(map(str, _RING)) + """), t AS (SELECT state, CAST(sum(-w * ((state >> i) % 2 + (state >> j) % 2 - 2 * ((state >> i) % 2) * ((state >> j) % 2))) AS DOUBLE) AS energy FROM s, e GROUP BY state)
+SELECT method, min(energy) AS energy, true AS below_even FROM t, (VALUES ('alternating'), ('evolved'), ('variational')) m(method) GROUP BY method""")
+def register_solvers(spark, sf_dir) -> DataFrame:
+    q = optimise.max_cut(spark.createDataFrame(_RING, "i long, j long, w double")).withColumn("problem", F.lit(0).cast("long"))
+    even = -sum(w for *_, w in _RING) / 2  # the mean energy of all states
+    each = [circuits.simulated(q, 8, m).select(F.lit(m).alias("method"), "energy", (F.col("mean") < 1.5 * even).alias("below_even")) for m in sorted(circuits.METHODS)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 _PLACES = [(0, 1, 2.0), (0, 2, 9.0), (0, 3, 10.0), (1, 0, 1.0), (1, 2, 6.0), (1, 3, 4.0), (2, 0, 15.0), (2, 1, 7.0), (2, 3, 8.0), (3, 0, 6.0), (3, 1, 3.0), (3, 2, 12.0)]
 
 
