@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, dna, neuro, scalar, vector
-from ..operators import circuits, learning, optimise, plasticity, recursion, signal
+from ..operators import circuits, learning, optimise, pathway, plasticity, recursion, signal
 from ..session import table
 from .registry import query
 
@@ -181,6 +181,21 @@ def capacity(spark, sf_dir) -> DataFrame:
     return plasticity.capacity(nodes, 100).crossJoin(nodes.agg(F.sum(plasticity.faded(F.col("uses"))).alias("left_uses")))
 
 
+@query("pathway_match", f"""
+WITH n AS (SELECT user_id AS node, (user_id * 31 % 100) / 100.0 AS activation, (user_id * 7919 % 1000) / 1000.0 AS strength, count(*) AS accesses FROM events GROUP BY user_id),
+l AS ({_WEIGHTED}), awake AS (SELECT node FROM n WHERE activation > 0.5 AND node % 3 = 0),
+p AS (SELECT node FROM awake UNION SELECT dst FROM l WHERE weight > 0.7 AND src IN (SELECT node FROM awake) ORDER BY node LIMIT 50),
+m AS (SELECT n.*, 0.6 * CASE WHEN strength > 0.5 THEN 0.9 ELSE 0.1 END + 0.4 * CASE WHEN strength > 0.25 THEN 0.8 ELSE 0 END AS score FROM n WHERE node IN (SELECT node FROM p)),
+c AS (SELECT src AS node, avg(abs(weight)) AS pull FROM l GROUP BY src)
+SELECT node, round(score, 6) AS score, round(least(1.0, greatest(0.0, strength + log10(accesses) / 10 + 0.3 * coalesce(pull, 0))), 6) AS confidence FROM m LEFT JOIN c USING (node) WHERE score > 0.5""")
+def pathway_match(spark, sf_dir) -> DataFrame:
+    nodes = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node")).agg(F.count("*").alias("accesses"))
+    nodes = nodes.select("node", (F.col("node") * 31 % 100 / 100.0).alias("activation"), (F.col("node") * 7919 % 1000 / 1000.0).alias("strength"), "accesses")
+    links = _weighted(spark, sf_dir).select("src", "dst", "weight")
+    path = pathway.pathway(nodes.where("node % 3 = 0").select("node"), nodes, links)
+    return pathway.matches(path, nodes, links, [("=", "", 0.6), (">", "0.25", 0.4)]).select("node", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+
+
 def _spikes(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("node"), (F.col("event_id") * 3).cast("double").alias("ms"))
 
