@@ -185,7 +185,7 @@ def capacity(spark, sf_dir) -> DataFrame:
 WITH n AS (SELECT user_id AS node, (user_id * 31 % 100) / 100.0 AS activation, (user_id * 7919 % 1000) / 1000.0 AS strength, count(*) AS accesses FROM events GROUP BY user_id),
 l AS ({_WEIGHTED}), awake AS (SELECT node FROM n WHERE activation > 0.5 AND node % 3 = 0),
 p AS (SELECT node FROM awake UNION SELECT dst FROM l WHERE weight > 0.7 AND src IN (SELECT node FROM awake) ORDER BY node LIMIT 50),
-m AS (SELECT n.*, 0.6 * CASE WHEN strength > 0.5 THEN 0.9 ELSE 0.1 END + 0.4 * CASE WHEN strength > 0.25 THEN 0.8 ELSE 0 END AS score FROM n WHERE node IN (SELECT node FROM p)),
+m AS (SELECT n.*, CAST(0.6 * CASE WHEN strength > 0.5 THEN 0.9 ELSE 0.1 END + 0.4 * CASE WHEN strength > 0.25 THEN 0.8 ELSE 0 END AS DOUBLE) AS score FROM n WHERE node IN (SELECT node FROM p)),
 c AS (SELECT src AS node, avg(abs(weight)) AS pull FROM l GROUP BY src)
 SELECT node, round(score, 6) AS score, round(least(1.0, greatest(0.0, strength + log10(accesses) / 10 + 0.3 * coalesce(pull, 0))), 6) AS confidence FROM m LEFT JOIN c USING (node) WHERE score > 0.5""")
 def pathway_match(spark, sf_dir) -> DataFrame:
