@@ -11,7 +11,8 @@ A document's set holds the hashes (64 bits) of its 5-word shingles; two document
    and light ones that could link to them, enter inverted lists of the former prefix, which are scanned. The boundary x
    minimises the estimated cost: subsets written, against postings written and pairs met in the lists.
    At the first shingle that two sets share, what stands before it is unshared: the places bound the overlap.
-3. Lists of up to SHORT sets give all their pairs.
+3. Lists of up to SHORT sets give all their pairs. In a list of a heavy shingle, sets that have the same heavy shingle
+   before it are left to that one's list: of a passage's shingles, which stand together, only the first is matched.
 4. Long lists are not expanded: blocks of members (hubs) are matched against the whole list, linked members
    fall into one component, and only what lies outside a list's largest component is matched again, against
    everything, until nothing is left. No pair across components goes untested, so no link is lost.
@@ -212,6 +213,13 @@ class Order:
         at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
         return np.where(self.keys[at] == s, self.dealt[at], 1).astype(np.int32)
 
+    def before(self, s: np.ndarray) -> np.ndarray:
+        """What stands before each of a set's first ones where both are heavy, else 0."""
+        if not len(self.keys):
+            return np.zeros(len(s), dtype=np.uint64)
+        known = self.keys[np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)] == s
+        return np.concatenate([np.zeros(1, np.uint64), np.where(known[1:] & known[:-1], s[:-1], np.uint64(0))])[: len(s)]
+
     def __call__(self, s: np.ndarray, n: int) -> np.ndarray:
         """The first n of a sorted set."""
         spot = np.flatnonzero(self.seen[(s >> np.uint64(42)).astype(np.int64)])
@@ -227,10 +235,11 @@ class Order:
 
 
 def _postings(docs: DataFrame, width: int, heavy: tuple[np.ndarray, np.ndarray, int], x: int, shared: frozenset[int]) -> DataFrame:
-    """Rows (key, light, fp, n, room, shares): subsets of light sets, and the inverted lists' entries. Copies go once, as far as a task remembers.
+    """Rows (key, light, fp, n, room, shares, before): subsets of light sets, and the inverted lists' entries. Copies go once, as far as a task remembers.
 
     room: the most that the set can share with one it meets here first, for what stands before in the order is then unshared.
     shares: tasks to which the key's list is dealt by set, more than one if all shingles of the key are heavy.
+    before: the shingle before this one in the set, if both are heavy, else 0: sets that share it as well meet there already.
     """
 
     def post(batches):
@@ -239,7 +248,7 @@ def _postings(docs: DataFrame, width: int, heavy: tuple[np.ndarray, np.ndarray,
         for batch in slices(batches):
             if len(seen) > 200_000:
                 seen.clear()
-            keys, light, fps, sizes, rooms, shares = [], [], [], [], [], []
+            keys, light, fps, sizes, rooms, shares, before = [], [], [], [], [], [], []
             for s in shingler(batch.column(0).to_pylist()):
                 n = len(s)
                 if not n or (f := named(s, shared)) in seen:
@@ -253,6 +262,7 @@ def _postings(docs: DataFrame, width: int, heavy: tuple[np.ndarray, np.ndarray,
                     shares.append(np.minimum(known[i], known[j]))
                     with np.errstate(over="ignore"):
                         keys.append(mix64(np.minimum(p[i], p[j]) * np.uint64(_ODD) + mix64(np.maximum(p[i], p[j]))) if n > 1 else p)
+                    before.append(np.zeros(len(keys[-1]), np.uint64))
                     light.append(np.ones(len(keys[-1]), bool))
                     fps.append(np.full(len(keys[-1]), f))
                     sizes.append(np.full(len(keys[-1]), n, np.int32))
@@ -260,13 +270,14 @@ def _postings(docs: DataFrame, width: int, heavy: tuple[np.ndarray, np.ndarray,
                     keys.append(order(s, prefix(n)))
                     rooms.append(n - np.arange(len(keys[-1])))
                     shares.append(order.shares(keys[-1]))
+                    before.append(order.before(keys[-1]))
                     light.append(np.zeros(len(keys[-1]), bool))
                     fps.append(np.full(len(keys[-1]), f))
                     sizes.append(np.full(len(keys[-1]), n, np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(light)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(rooms).astype(np.int32)), pa.array(np.concatenate(shares))], ["key", "light", "fp", "n", "room", "shares"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(light)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(rooms).astype(np.int32)), pa.array(np.concatenate(shares)), pa.array(np.concatenate(before).view(np.int64))], ["key", "light", "fp", "n", "room", "shares", "before"])
 
-    return docs.select("text").mapInArrow(tidy(post), "key long, light boolean, fp long, n int, room int, shares int")
+    return docs.select("text").mapInArrow(tidy(post), "key long, light boolean, fp long, n int, room int, shares int, before long")
 
 
 def _sets(docs: DataFrame, width: int, wanted: np.ndarray, shared: frozenset[int]) -> DataFrame:
@@ -340,10 +351,13 @@ def _for_all(rows: DataFrame) -> DataFrame:
 
 
 def _met(members: DataFrame, others: DataFrame, condition: str = "true") -> DataFrame:
-    """Pairs (a, b, na, nb), a < b, of members with others of the same list and other components; both with their share."""
-    left = members.select("key", "light", "share", F.col("fp").alias("f"), F.col("n").alias("na"), F.col("room").alias("ra"), F.col("root").alias("fr"))
-    right = others.select("key", "light", "share", F.col("fp").alias("h"), F.col("n").alias("nb"), F.col("room").alias("rb"), F.col("root").alias("hr"))
-    met = left.join(right, ["key", "light", "share"]).where(f"fr != hr and {_SIZES} and {_ROOM} and {condition}")
+    """Pairs (a, b, na, nb), a < b, of members with others of the same list and other components; both with their share.
+
+    Sets with the same shingle before the list's own stand together in that one's list too, with more room, and are left to it.
+    """
+    left = members.select("key", "light", "share", F.col("fp").alias("f"), F.col("n").alias("na"), F.col("room").alias("ra"), F.col("root").alias("fr"), F.col("before").alias("fb"))
+    right = others.select("key", "light", "share", F.col("fp").alias("h"), F.col("n").alias("nb"), F.col("room").alias("rb"), F.col("root").alias("hr"), F.col("before").alias("hb"))
+    met = left.join(right, ["key", "light", "share"]).where(f"fr != hr and (fb = 0 or fb != hb) and {_SIZES} and {_ROOM} and {condition}")
     swap = F.col("f") > F.col("h")
     return met.select(F.least("f", "h").alias("a"), F.greatest("f", "h").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
 
@@ -351,7 +365,7 @@ def _met(members: DataFrame, others: DataFrame, condition: str = "true") -> Data
 def _hubs(members: DataFrame, hubs: int, turn: int) -> DataFrame:
     """Up to `hubs` members of each list: the least of each cell of a hash, so that lists of like members have like hubs."""
     cell = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(hubs))
-    return members.groupBy(*_LIST, cell.alias("cell")).agg(F.min(F.struct("fp", "n", "room", "root")).alias("h")).select(*_LIST, "h.*")
+    return members.groupBy(*_LIST, cell.alias("cell")).agg(F.min(F.struct("fp", "n", "room", "root", "before")).alias("h")).select(*_LIST, "h.*")
 
 
 def linked_sets(docs: DataFrame, own: DataFrame, scratch: Scratch, width: int = 5, shared: frozenset[int] = frozenset()) -> DataFrame:
@@ -367,10 +381,15 @@ def linked_sets(docs: DataFrame, own: DataFrame, scratch: Scratch, width: int =
 
     by = ["key", "light", "share"]
     posted = _postings(docs, width, heavy, x, shared).withColumn("share", _share())
-    listed = posted.repartition(*by).dropDuplicates([*by, "fp"]).withColumn("df", F.count("*").over(Window.partitionBy(*by))).where("shares > 1 or df > 1")
-    listed = scratch.keep(listed, "listed")
+    part = Window.partitionBy(*by)
+    listed = posted.repartition(*by).dropDuplicates([*by, "fp"]).select("*", *(f("before" if c else "*").over(part).alias(n) for f, c, n in ((F.count, 0, "df"), (F.min, 1, "lo"), (F.max, 1, "hi"))))
+    # a list whose members all have the same shingle before is part of that one's list
+    listed = scratch.keep(listed.where("shares > 1 or (df > 1 and (lo = 0 or lo != hi))"), "listed")
+    parts = listed.where("shares > 1").groupBy("key", "light").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    part_of = parts.where("lo != 0 and lo = hi").select("key", "light")  # at most one row a heavy shingle: HEAVY_ROWS
+    listed = listed.drop("lo", "hi").join(F.broadcast(part_of), ["key", "light"], "left_anti")
     is_short = (F.col("shares") == 1) & (F.col("df") <= SHORT)
-    short, long = listed.where(is_short).withColumn("root", F.col("fp")), listed.where(~is_short).select(*_LIST, "share", "fp", "n", "room", F.col("fp").alias("root"))
+    short, long = listed.where(is_short).withColumn("root", F.col("fp")), listed.where(~is_short).select(*_LIST, "share", "fp", "n", "room", "before", F.col("fp").alias("root"))
     # two light sets meet on subsets, so their shingles' lists need not bring them together as well
     near = _met(short, short, f"f < h and (light or greatest(na, nb) > {x})")
     hubs = scratch.keep(_hubs(long, HUBS, 0), "hubs-0")
