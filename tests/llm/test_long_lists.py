@@ -40,7 +40,7 @@ def plain_classes(rows):
 
 
 @pytest.mark.parametrize("seed, short", [(2, 2), (4, 12)])
-def test_lists_left_to_the_shingle_before(spark, monkeypatch, seed, short):
+def test_changed_passages(spark, monkeypatch, seed, short):
     """Texts of shared passages with words changed, lost and put in, by brute force."""
     r = random.Random(seed)
     monkeypatch.setattr(jaccard, "LIST_SHARE", 16)
