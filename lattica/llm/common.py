@@ -70,6 +70,23 @@ def slices(batches, rows: int = 500):
             yield batch.slice(k, rows)
 
 
+#: Rows and bytes of an Arrow batch that a worker is handed, at most, once small_batches() was called.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands its workers small Arrow batches; smaller limits of the caller's stay.
+
+    A batch of texts stands in the executor's memory, more than once while its buffer grows, and in the worker's at the same
+    time; with Spark's 10,000 rows that is a good part of a small executor. Plans read these settings when they run, which
+    may be after the operator has returned its lazy result, so they stay set. They change no result.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if not 0 < held <= most:
+            spark.conf.set(key, str(most))
+
+
 def tidy(run):
     """A function of Arrow batches that, when its task is done, gives the memory it has freed back to the system.
 

@@ -169,15 +169,21 @@ class Scorer:
 
     def __init__(self, net: Network):
         self.net, self.seen = net, {}
-        self.gates = np.zeros((0, 6 * HIDDEN), np.float32)
+        self.gates = np.empty((0, 6 * HIDDEN), np.float32)  # rows beyond those of `seen` are room that the system gives when it is filled
 
     def ids(self, docs: list[list[str]]) -> list[np.ndarray]:
         if len(self.seen) > _CACHE:
-            self.seen, self.gates = {}, self.gates[:0]
+            self.seen = {}
         new = list({w for ws in docs for w in ws if w not in self.seen})
-        if new:
-            self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new))))
-            self.gates = np.concatenate([self.gates, *(self.net.projected(new[k : k + 4096]) for k in range(0, len(new), 4096))])
+        held = len(self.seen)
+        if held + len(new) > len(self.gates):
+            more = np.empty((max(_CACHE, held) + len(new), 6 * HIDDEN), np.float32)
+            more[:held] = self.gates[:held]
+            self.gates = more
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
+            self.gates[held + k : held + k + len(some)] = self.net.projected(some)
+        self.seen.update(zip(new, range(held, held + len(new))))
         seen = self.seen
         return [np.fromiter((seen[w] for w in ws), dtype=np.int32, count=len(ws)) for ws in docs]
 

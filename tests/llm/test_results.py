@@ -7,12 +7,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from lattica.llm import language, ogg, packing, pieces, pii, quality, tokenids, toxicity
+from lattica.llm import common, language, ogg, packing, pieces, pii, quality, tokenids, toxicity
 
 R = random.Random(11)
 WORDS = "the of and river stone green light water house when small little over under again bright morning".split()
@@ -228,6 +230,44 @@ def test_toxicity_on_odd_rows(spark, folder):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, s in got.items() for _ in [r for r in ROWS if r[0] == i] if max(s) < 0.5)
 
 
+def test_scorer_keeps_words_in_place(monkeypatch):
+    words = [f"word{i}" for i in range(900)]
+    net = toxicity.Network({w: i + 1 for i, w in enumerate(words[::2])}, np.zeros(450, np.float32))
+    monkeypatch.setattr(toxicity, "_CACHE", 400)
+    scorer, alone = toxicity.Scorer(net), net.projected(words)
+    first = scorer.ids([words[:100]])
+    held = scorer.gates
+    for k in range(0, 900, 100):  # past the cache words are forgotten and learned anew
+        ids = scorer.ids([words[k : k + 100], [], words[k : k + 50]])
+        assert np.allclose(scorer.gates[ids[0]], alone[k : k + 100], atol=1e-5) and ids[2].tolist() == ids[0][:50].tolist()
+        assert scorer.gates is held, "kept words were copied"
+    assert len(set(first[0].tolist())) == 100
+    many = scorer.ids([[f"other{i}" for i in range(2000)]])[0]  # more than the cache at once
+    assert np.allclose(scorer.gates[many], net.projected([f"other{i}" for i in range(2000)]), atol=1e-5)
+
+
+def test_pipeline_hands_workers_small_batches(spark, folder):
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "if(id < 2990, 'a b c', repeat('long text ', 200000)) as text")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        for k in keys:
+            spark.conf.unset(k)
+        stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in got) == 3000 and max(r["n"] for r in got) <= common.BATCH_ROWS
+        assert max(r["bytes"] for r in got) <= common.BATCH_BYTES + 3_000_000  # up to the row that goes beyond
+    for k, less in zip(keys, ("7", "1m")):
+        spark.conf.set(k, less)
+        common.small_batches(spark)
+        assert spark.conf.get(k) == less
+        spark.conf.unset(k)
+
+
 def test_pipeline(spark, folder):
     good = {r["doc_id"] for r in quality.query(spark, folder).where("kept").collect()}
     assert good == {i for i, t in enumerate(TEXTS) if t in PROSE or t == PROSE[1] + " again"}
